@@ -11,14 +11,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mercato.operators import customers, delivery, geo, sales
+from pyspark.sql import functions as F
+
+from mercato.operators import churn, customers, delivery, fraud, geo, sales
 from mercato.plans.context import Context
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 # The fixed parameters of the registered forms (the dashboard's widgets).
 RANGE_START, RANGE_END = "1996-01-01", "1997-06-30"
-STATE = "BRAZIL"
+STATE = "NATION_1"
 
 
 def query(name: str):
@@ -69,3 +71,32 @@ _fact_query("freight_by_category", delivery.freight_by_category)
 _fact_query("revenue_by_category_range", sales.revenue_by_category, start=RANGE_START, end=RANGE_END)
 _fact_query("sales_by_state_range", geo.sales_by_state, start=RANGE_START, end=RANGE_END)
 _fact_query("delivery_kpis_range", delivery.delivery_kpis, start=RANGE_START, end=RANGE_END)
+
+# Fraud (whole fact, raw category)
+_fact_query("fraud_pairs", fraud.fraud_pairs)
+_fact_query("fraud_scored", fraud.fraud_scored)
+_fact_query("fraud_cases", fraud.fraud_cases)
+_fact_query("fraud_count", fraud.fraud_count)
+_fact_query("fraud_top20", fraud.fraud_top, k=20)
+
+
+@query("order_sequence")
+def _order_sequence(spark, sf_dir):
+    seq = fraud.order_sequence(Context(spark, sf_dir).fact)
+    return seq.select("customer_unique_id", "order_id", F.col("order_item_id").cast("bigint").alias("order_item_id"),
+                      "product_id", "seller_id", F.col("review_no").cast("bigint").alias("review_no"),
+                      "order_sequence", F.col("first_order_value").cast("double").alias("first_order_value"),
+                      "first_customer_zip_code_prefix")
+
+
+# Churn features
+_fact_query("churn_label", churn.churn_label)
+_fact_query("churn_features", churn.churn_features)
+_fact_query("purchase_gaps", churn.purchase_gaps)
+_fact_query("recent_orders", churn.recent_orders)
+_fact_query("pct_late_by_customer", churn.pct_late_by_customer)
+
+
+@query("churn_matrix")
+def _churn_matrix(spark, sf_dir):
+    return churn.churn_matrix(churn.churn_features(Context(spark, sf_dir).fact))

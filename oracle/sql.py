@@ -223,6 +223,136 @@ FROM delivered WHERE category IS NOT NULL GROUP BY category
 ORDER BY total_freight DESC, category LIMIT 15"""
 
 
+# --- fraud ---------------------------------------------------------------
+_FRAUD = """
+seq AS (
+  SELECT *, row_number() OVER (
+           PARTITION BY customer_unique_id
+           ORDER BY order_purchase_timestamp NULLS FIRST, order_id NULLS FIRST, order_item_id NULLS FIRST,
+                    product_id NULLS FIRST, seller_id NULLS FIRST, price NULLS FIRST, review_no NULLS FIRST,
+                    freight_value NULLS FIRST, shipping_limit_date NULLS FIRST) AS order_sequence
+  FROM fact WHERE customer_unique_id IS NOT NULL),
+firsts AS (SELECT customer_unique_id, payment_value AS v1, customer_zip_code_prefix AS z1
+           FROM seq WHERE order_sequence = 1),
+pairs AS (
+  SELECT s.customer_unique_id, s.order_id, CAST(s.order_item_id AS BIGINT) AS order_item_id, s.product_id,
+         s.order_sequence,
+         CAST(s.payment_value AS DOUBLE) AS order_value_current, CAST(f.v1 AS DOUBLE) AS order_value_first,
+         s.customer_zip_code_prefix AS zip_current, f.z1 AS zip_first,
+         CAST(s.payment_value AS DOUBLE) / (CAST(f.v1 AS DOUBLE) + 1.0) AS value_ratio,
+         coalesce(s.customer_zip_code_prefix <> f.z1, true) AS different_zip
+  FROM seq s JOIN firsts f USING (customer_unique_id)
+  WHERE s.order_sequence >= 2),
+scored AS (
+  SELECT *, CAST(CASE WHEN value_ratio >= 5 AND different_zip THEN 100
+                      WHEN value_ratio >= 5 THEN 75
+                      WHEN value_ratio >= 3 AND value_ratio < 5 AND different_zip THEN 50
+                      ELSE 0 END AS BIGINT) AS fraud_score
+  FROM pairs),
+cases AS (
+  SELECT *, CASE WHEN fraud_score >= 0 AND fraud_score <= 80 THEN 'High Risk'
+                 WHEN fraud_score > 80 AND fraud_score <= 99 THEN 'Very High Risk'
+                 WHEN fraud_score > 99 AND fraud_score <= 100 THEN 'Critical Risk' END AS risk_level
+  FROM scored WHERE fraud_score >= 75)"""
+
+_Q["fraud_pairs"] = ", " + _FRAUD + " SELECT * FROM pairs"
+_Q["fraud_scored"] = ", " + _FRAUD + " SELECT * FROM scored"
+_Q["fraud_cases"] = ", " + _FRAUD + " SELECT * FROM cases"
+_Q["fraud_count"] = ", " + _FRAUD + " SELECT count(*) AS fraud_cases FROM cases"
+_Q["fraud_top20"] = ", " + _FRAUD + """
+SELECT order_id, customer_unique_id, order_value_current, order_value_first, value_ratio, different_zip,
+       risk_level
+FROM cases ORDER BY value_ratio DESC, customer_unique_id, order_sequence LIMIT 20"""
+_Q["order_sequence"] = ", " + _FRAUD + """
+SELECT s.customer_unique_id, s.order_id, CAST(s.order_item_id AS BIGINT) AS order_item_id, s.product_id,
+       s.seller_id, CAST(s.review_no AS BIGINT) AS review_no, s.order_sequence,
+       CAST(f.v1 AS DOUBLE) AS first_order_value, f.z1 AS first_customer_zip_code_prefix
+FROM seq s JOIN firsts f USING (customer_unique_id)"""
+
+# --- churn ---------------------------------------------------------------
+_DAYS = "CAST(floor(datediff('microsecond', {a}, {b}) / 86400000000.0) AS BIGINT)"
+_CHURN = """
+crows AS (
+  SELECT customer_unique_id, order_id, order_item_id, payment_type, review_score, item_total,
+         CAST(purchase_date AS TIMESTAMP) AS purchase_ts,
+         """ + _DAYS.format(a="CAST(purchase_date AS TIMESTAMP)", b="order_delivered_customer_date") + """ AS delivery_days,
+         """ + _DAYS.format(a="order_estimated_delivery_date", b="order_delivered_customer_date") + """ AS delay_days
+  FROM delivered),
+bounds AS (SELECT max(purchase_ts) AS end_ts, max(purchase_ts) - INTERVAL 90 DAY AS cutoff FROM crows),
+label AS (
+  SELECT customer_unique_id,
+         """ + _DAYS.format(a="max(purchase_ts)", b="(SELECT end_ts FROM bounds)") + """ AS days_since_last
+  FROM crows WHERE customer_unique_id IS NOT NULL GROUP BY 1),
+feat AS (SELECT * FROM crows
+         WHERE customer_unique_id IS NOT NULL AND purchase_ts <= (SELECT cutoff FROM bounds)),
+cust AS (
+  SELECT customer_unique_id,
+         count(DISTINCT order_id) AS num_orders,
+         CAST(coalesce(sum(item_total), 0) AS DOUBLE) AS total_spent,
+         CAST(sum(item_total) AS DOUBLE) / count(item_total) AS avg_order_value,
+         CAST(sum(review_score) AS DOUBLE) / nullif(count(review_score), 0) AS avg_review,
+         CAST(sum(delivery_days) AS DOUBLE) / nullif(count(delivery_days), 0) AS avg_delivery_days,
+         CAST(sum(delay_days) AS DOUBLE) / nullif(count(delay_days), 0) AS avg_delay,
+         count(order_item_id) AS total_items,
+         max(purchase_ts) AS last_ts, min(purchase_ts) AS first_ts,
+         count(DISTINCT CASE WHEN purchase_ts >= (SELECT cutoff FROM bounds) - INTERVAL 30 DAY THEN order_id END)
+           AS orders_last_30d,
+         count(DISTINCT CASE WHEN purchase_ts >= (SELECT cutoff FROM bounds) - INTERVAL 60 DAY THEN order_id END)
+           AS orders_last_60d,
+         count(DISTINCT CASE WHEN purchase_ts >= (SELECT cutoff FROM bounds) - INTERVAL 90 DAY THEN order_id END)
+           AS orders_last_90d
+  FROM feat GROUP BY 1),
+late AS (
+  SELECT customer_unique_id, avg(CASE WHEN d > 0 THEN 1 ELSE 0 END) AS pct_late
+  FROM (SELECT customer_unique_id, order_id, avg(delay_days) AS d FROM feat GROUP BY 1, 2) GROUP BY 1),
+gap_rows AS (
+  SELECT customer_unique_id,
+         datediff('day', lag(purchase_ts) OVER (PARTITION BY customer_unique_id ORDER BY purchase_ts),
+                  purchase_ts) AS g
+  FROM feat),
+gaps AS (
+  -- mean and sample standard deviation of the gaps: sqrt((k*S2 - S1^2) / (k*(k-1)))
+  SELECT customer_unique_id,
+         CASE WHEN count(g) >= 1 THEN CAST(sum(g) AS DOUBLE) / count(g) END AS avg_days_between,
+         CASE WHEN count(g) >= 2 THEN
+           sqrt(CAST(CAST(count(g) AS HUGEINT) * sum(CAST(g AS HUGEINT) * g) - CAST(sum(g) AS HUGEINT) * sum(g)
+                     AS DOUBLE) / CAST(count(g) * (count(g) - 1) AS DOUBLE)) END AS std_days_between
+  FROM gap_rows GROUP BY 1),
+pay AS (
+  SELECT customer_unique_id, payment_type AS preferred_payment FROM (
+    SELECT customer_unique_id, payment_type,
+           row_number() OVER (PARTITION BY customer_unique_id ORDER BY count(*) DESC, payment_type) AS rn
+    FROM feat WHERE payment_type IS NOT NULL GROUP BY 1, 2)
+  WHERE rn = 1),
+features AS (
+  SELECT c.customer_unique_id, c.num_orders, c.total_spent,
+         coalesce(c.avg_order_value, 0.0) AS avg_order_value, coalesce(c.avg_review, 0.0) AS avg_review,
+         coalesce(c.avg_delivery_days, 0.0) AS avg_delivery_days, coalesce(c.avg_delay, 0.0) AS avg_delay,
+         c.total_items,
+         """ + _DAYS.format(a="c.last_ts", b="(SELECT cutoff FROM bounds)") + """ AS recency,
+         """ + _DAYS.format(a="c.first_ts", b="(SELECT cutoff FROM bounds)") + """ + 1 AS tenure_days,
+         coalesce(g.avg_days_between, 0.0) AS avg_days_between,
+         coalesce(g.std_days_between, 0.0) AS std_days_between,
+         c.orders_last_30d, c.orders_last_60d, c.orders_last_90d,
+         coalesce(l.pct_late, 0.0) AS pct_late,
+         c.first_ts,
+         coalesce(p.preferred_payment, 'unknown') AS preferred_payment,
+         coalesce(CAST(lb.days_since_last > 90 AS BIGINT), 0) AS churn
+  FROM cust c
+  LEFT JOIN pay p USING (customer_unique_id)
+  LEFT JOIN gaps g USING (customer_unique_id)
+  LEFT JOIN late l USING (customer_unique_id)
+  LEFT JOIN label lb USING (customer_unique_id))"""
+
+_Q["churn_label"] = ", " + _CHURN + """
+SELECT customer_unique_id, days_since_last, CAST(days_since_last > 90 AS BIGINT) AS churn FROM label"""
+_Q["churn_features"] = ", " + _CHURN + " SELECT * FROM features"
+_Q["purchase_gaps"] = ", " + _CHURN + " SELECT * FROM gaps"
+_Q["recent_orders"] = ", " + _CHURN + """
+SELECT customer_unique_id, orders_last_30d, orders_last_60d, orders_last_90d FROM features"""
+_Q["pct_late_by_customer"] = ", " + _CHURN + " SELECT customer_unique_id, pct_late FROM features"
+
+
 def _full(body: str) -> str:
     body = body.strip()
     if body.startswith(","):
