@@ -173,3 +173,16 @@ def churn_matrix(features: DataFrame, vocabulary: list[str] | None = None) -> Da
         vocabulary = sorted(r[0] for r in features.select("preferred_payment").distinct().collect())
     onehot = [(F.col("preferred_payment") == v).cast("bigint").alias(f"pay_{v}") for v in vocabulary]
     return features.select(CUST, *FEATURE_COLUMNS, *onehot, "churn")
+
+
+def customer_search(features: DataFrame, pattern: str, k: int = 20) -> DataFrame:
+    """Customers whose id contains the case-insensitive regex ``pattern``;
+    the first k by id."""
+    hit = F.col(CUST).cast("string").rlike("(?i)" + pattern)
+    return features.where(hit).orderBy(CUST).limit(k)
+
+
+def customer_card(features: DataFrame, customer_id) -> DataFrame:
+    """One customer's feature row (a filter on the scored table)."""
+    cid = customer_id if isinstance(customer_id, Column) else F.lit(customer_id)
+    return features.where(F.col(CUST) == cid).limit(1)

@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from mercato.operators import churn, customers, delivery, fraud, geo, sales
+from mercato.operators import churn, clean, customers, delivery, fraud, geo, profile, sales
+from mercato.operators.fact import FACT_COLUMNS, delivered, orders_with_items
 from mercato.plans.context import Context
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +101,147 @@ _fact_query("pct_late_by_customer", churn.pct_late_by_customer)
 @query("churn_matrix")
 def _churn_matrix(spark, sf_dir):
     return churn.churn_matrix(churn.churn_features(Context(spark, sf_dir).fact))
+
+
+# Profiles, cleaning steps and lookups
+@query("table_profile")
+def _table_profile(spark, sf_dir):
+    return profile.table_profile(Context(spark, sf_dir).src)
+
+
+@query("null_profile")
+def _null_profile(spark, sf_dir):
+    return profile.null_profile(Context(spark, sf_dir).src)
+
+
+PREVIEW_KEYS = ["order_id", "order_item_id", "product_id", "seller_id", "price", "review_no",
+                "freight_value", "shipping_limit_date"]
+
+
+@query("fact_preview")
+def _fact_preview(spark, sf_dir):
+    f = Context(spark, sf_dir).fact
+    return profile.preview(f, PREVIEW_KEYS, 20).select(
+        "order_id", F.col("order_item_id").cast("bigint").alias("order_item_id"), "product_id", "seller_id",
+        F.col("review_no").cast("bigint").alias("review_no"), "order_status", "customer_state", "category",
+        F.col("payment_value").cast("double").alias("payment_value"))
+
+
+@query("build_fact")
+def _build_fact(spark, sf_dir):
+    f = Context(spark, sf_dir).fact
+    as_double = {"price", "freight_value", "payment_value", "item_total"}
+    as_long = {"order_item_id", "review_no", "payment_installments"}
+    return f.select(*[F.col(c).cast("double").alias(c) if c in as_double
+                      else F.col(c).cast("bigint").alias(c) if c in as_long else F.col(c)
+                      for c in FACT_COLUMNS])
+
+
+@query("dedup_items")
+def _dedup_items(spark, sf_dir):
+    li = Context(spark, sf_dir).driver_table("lineitem")
+    return clean.dedupe(li.select(F.col("l_orderkey").alias("order_id"),
+                                  F.col("l_linenumber").cast("bigint").alias("order_item_id")))
+
+
+def _date_strings(spark, sf_dir):
+    o = Context(spark, sf_dir).driver_table("orders")
+    return o.select(F.col("o_orderkey").alias("order_id"),
+                    F.when(F.col("o_orderkey") % 13 == 0, F.lit("not a date"))
+                     .otherwise(F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")).alias("raw_ts"))
+
+
+@query("parse_dates")
+def _parse_dates(spark, sf_dir):
+    s = _date_strings(spark, sf_dir).where(F.col("raw_ts") != "not a date")
+    return clean.parse_timestamps(s, ["raw_ts"], "yyyy-MM-dd HH:mm:ss").withColumnRenamed("raw_ts", "parsed_ts")
+
+
+@query("coerce_dates")
+def _coerce_dates(spark, sf_dir):
+    s = _date_strings(spark, sf_dir)
+    return clean.coerce_timestamps(s, ["raw_ts"]).withColumnRenamed("raw_ts", "parsed_ts")
+
+
+@query("fill_text")
+def _fill_text(spark, sf_dir):
+    p = clean.dedupe(Context(spark, sf_dir).src.products)
+    return clean.fill_text(p, {"product_category_name": "unknown"}).select("product_id", "product_category_name")
+
+
+@query("impute_group_median")
+def _impute(spark, sf_dir):
+    return Context(spark, sf_dir).clean.products.select("product_id", "product_category_name", "product_weight_g")
+
+
+@query("category_label")
+def _category_label(spark, sf_dir):
+    return Context(spark, sf_dir).clean.category_translation
+
+
+@query("payments_per_order")
+def _payments_per_order(spark, sf_dir):
+    p = Context(spark, sf_dir).clean.payments_agg
+    return p.select("order_id", F.col("payment_value").cast("double").alias("payment_value"),
+                    F.col("payment_installments").cast("bigint").alias("payment_installments"), "payment_type")
+
+
+@query("orders_with_items")
+def _orders_with_items(spark, sf_dir):
+    c = Context(spark, sf_dir).clean
+    return orders_with_items(c.orders, c.order_items).select("order_id")
+
+
+@query("calendar_columns")
+def _calendar(spark, sf_dir):
+    o = Context(spark, sf_dir).clean.orders
+    ts = F.col("order_purchase_timestamp")
+    return o.select("order_id", F.to_date(ts).alias("purchase_date"), F.year(ts).cast("bigint").alias("purchase_year"),
+                    F.date_format(ts, "yyyy-MM").alias("purchase_month"),
+                    F.weekday(ts).cast("bigint").alias("purchase_weekday"))
+
+
+@query("delivery_days")
+def _delivery_days(spark, sf_dir):
+    from mercato.functions.rules import day_diff
+    o = Context(spark, sf_dir).clean.orders
+    return o.select("order_id", "delivery_time",
+                    day_diff("order_estimated_delivery_date", "order_purchase_timestamp").alias("estimated_delivery_time"),
+                    day_diff("order_delivered_customer_date", "order_estimated_delivery_date").alias("delivery_delay"),
+                    "delay_vs_estimated")
+
+
+@query("has_comment")
+def _has_comment(spark, sf_dir):
+    r = Context(spark, sf_dir).clean.reviews
+    return r.select("order_id", F.col("review_no").cast("bigint").alias("review_no"),
+                    F.coalesce(F.length("review_comment_message") > 0, F.lit(False)).cast("bigint").alias("has_comment"))
+
+
+@query("date_bounds")
+def _date_bounds(spark, sf_dir):
+    d = delivered(Context(spark, sf_dir).fact)
+    return d.agg(F.min("purchase_date").alias("min_date"), F.max("purchase_date").alias("max_date"))
+
+
+SEARCH = "12"
+
+
+@query("customer_search")
+def _customer_search(spark, sf_dir):
+    f = churn.churn_features(Context(spark, sf_dir).fact)
+    return churn.customer_search(f, SEARCH).select("customer_unique_id", "num_orders", "recency", "total_spent")
+
+
+@query("customer_card")
+def _customer_card(spark, sf_dir):
+    f = churn.churn_features(Context(spark, sf_dir).fact)
+    first_id = f.agg(F.min("customer_unique_id")).scalar()
+    return churn.customer_card(f, first_id).select("customer_unique_id", "num_orders", "recency", "total_spent",
+                                                   "churn")
+
+
+@query("churn_customer_count")
+def _churn_customer_count(spark, sf_dir):
+    f = churn.churn_features(Context(spark, sf_dir).fact)
+    return f.agg(F.count(F.lit(1)).alias("total_customers"))

@@ -153,6 +153,7 @@ fact AS (
          CAST(floor(datediff('microsecond', o.order_purchase_timestamp, o.order_estimated_delivery_date)
                     / 86400000000.0) AS BIGINT) AS estimated_delivery_time,
          o.delay_vs_estimated AS delivery_delay,
+         o.delay_vs_estimated,
          i.price + i.freight_value AS item_total,
          CAST(coalesce(length(r.review_comment_message) > 0, false) AS BIGINT) AS has_comment
   FROM cl_items i

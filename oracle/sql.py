@@ -353,6 +353,106 @@ SELECT customer_unique_id, orders_last_30d, orders_last_60d, orders_last_90d FRO
 _Q["pct_late_by_customer"] = ", " + _CHURN + " SELECT customer_unique_id, pct_late FROM features"
 
 
+# --- profiles, cleaning steps, lookups -------------------------------------
+_SRC_COLUMNS = {
+    "customers": ["customer_id", "customer_unique_id", "customer_zip_code_prefix", "customer_city",
+                  "customer_state"],
+    "orders": ["order_id", "customer_id", "order_status", "order_purchase_timestamp", "order_approved_at",
+               "order_delivered_carrier_date", "order_delivered_customer_date", "order_estimated_delivery_date"],
+    "order_items": ["order_id", "order_item_id", "product_id", "seller_id", "shipping_limit_date", "price",
+                    "freight_value"],
+    "payments": ["order_id", "payment_sequential", "source_row", "payment_type", "payment_installments",
+                 "payment_value"],
+    "reviews": ["order_id", "review_no", "review_score", "review_comment_title", "review_comment_message",
+                "review_creation_date", "review_answer_timestamp"],
+    "products": ["product_id", "product_category_name", "product_weight_g"],
+    "sellers": ["seller_id", "seller_zip_code_prefix", "seller_state"],
+}
+_SRC_CTE = {"order_items": "src_items"}
+
+_Q["table_profile"] = "\nUNION ALL\n".join(
+    f"SELECT '{t}' AS table_name, count(*) AS row_count, CAST({len(cols)} AS BIGINT) AS column_count "
+    f"FROM {_SRC_CTE.get(t, 'src_' + t)}" for t, cols in _SRC_COLUMNS.items())
+
+_Q["null_profile"] = "\nUNION ALL\n".join(
+    f"SELECT '{t}' AS table_name, '{c}' AS column_name, count(*) - count({c}) AS null_count "
+    f"FROM {_SRC_CTE.get(t, 'src_' + t)}" for t, cols in _SRC_COLUMNS.items() for c in cols)
+
+_Q["fact_preview"] = """
+SELECT order_id, CAST(order_item_id AS BIGINT) AS order_item_id, product_id, seller_id,
+       CAST(review_no AS BIGINT) AS review_no, order_status, customer_state, category,
+       CAST(payment_value AS DOUBLE) AS payment_value
+FROM fact
+ORDER BY order_id NULLS FIRST, order_item_id NULLS FIRST, product_id NULLS FIRST, seller_id NULLS FIRST,
+         price NULLS FIRST, review_no NULLS FIRST, freight_value NULLS FIRST, shipping_limit_date NULLS FIRST
+LIMIT 20"""
+
+_Q["build_fact"] = """
+SELECT * REPLACE (CAST(price AS DOUBLE) AS price, CAST(freight_value AS DOUBLE) AS freight_value,
+                  CAST(payment_value AS DOUBLE) AS payment_value, CAST(item_total AS DOUBLE) AS item_total,
+                  CAST(order_item_id AS BIGINT) AS order_item_id, CAST(review_no AS BIGINT) AS review_no,
+                  CAST(payment_installments AS BIGINT) AS payment_installments)
+FROM fact"""
+
+_Q["dedup_items"] = """
+SELECT DISTINCT l_orderkey AS order_id, CAST(l_linenumber AS BIGINT) AS order_item_id FROM lineitem"""
+
+_DATE_STRINGS = """
+date_strings AS (
+  SELECT o_orderkey AS order_id,
+         CASE WHEN o_orderkey % 13 = 0 THEN 'not a date' ELSE strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') END
+           AS raw_ts
+  FROM orders)"""
+_Q["parse_dates"] = ", " + _DATE_STRINGS + """
+SELECT order_id, strptime(raw_ts, '%Y-%m-%d %H:%M:%S') AS parsed_ts FROM date_strings
+WHERE raw_ts <> 'not a date'"""
+_Q["coerce_dates"] = ", " + _DATE_STRINGS + """
+SELECT order_id, try_strptime(raw_ts, '%Y-%m-%d %H:%M:%S') AS parsed_ts FROM date_strings"""
+
+_Q["fill_text"] = """
+SELECT product_id, coalesce(product_category_name, 'unknown') AS product_category_name
+FROM (SELECT DISTINCT * FROM src_products)"""
+_Q["impute_group_median"] = "SELECT product_id, product_category_name, product_weight_g FROM cl_products"
+_Q["category_label"] = "SELECT product_category_name, label FROM category_translation"
+_Q["payments_per_order"] = """
+SELECT order_id, CAST(payment_value AS DOUBLE) AS payment_value,
+       CAST(payment_installments AS BIGINT) AS payment_installments, payment_type
+FROM payments_agg"""
+_Q["orders_with_items"] = """
+SELECT order_id FROM cl_orders WHERE order_id IN (SELECT order_id FROM cl_items)"""
+_Q["calendar_columns"] = """
+SELECT order_id, CAST(order_purchase_timestamp AS DATE) AS purchase_date,
+       CAST(year(order_purchase_timestamp) AS BIGINT) AS purchase_year,
+       strftime(order_purchase_timestamp, '%Y-%m') AS purchase_month,
+       CAST(isodow(order_purchase_timestamp) - 1 AS BIGINT) AS purchase_weekday
+FROM cl_orders"""
+_Q["delivery_days"] = """
+SELECT order_id, delivery_time,
+       """ + _DAYS.format(a="order_purchase_timestamp", b="order_estimated_delivery_date") + """
+         AS estimated_delivery_time,
+       """ + _DAYS.format(a="order_estimated_delivery_date", b="order_delivered_customer_date") + """
+         AS delivery_delay,
+       delay_vs_estimated
+FROM cl_orders"""
+_Q["has_comment"] = """
+SELECT order_id, CAST(review_no AS BIGINT) AS review_no,
+       CAST(coalesce(length(review_comment_message) > 0, false) AS BIGINT) AS has_comment
+FROM cl_reviews"""
+_Q["date_bounds"] = "SELECT min(purchase_date) AS min_date, max(purchase_date) AS max_date FROM delivered"
+_Q["customer_search"] = ", " + _CHURN + """
+SELECT customer_unique_id, num_orders, recency, total_spent FROM features
+WHERE regexp_matches(CAST(customer_unique_id AS VARCHAR), '12', 'i')
+ORDER BY customer_unique_id LIMIT 20"""
+_Q["customer_card"] = ", " + _CHURN + """
+SELECT customer_unique_id, num_orders, recency, total_spent, churn FROM features
+WHERE customer_unique_id = (SELECT min(customer_unique_id) FROM features)"""
+_Q["churn_customer_count"] = ", " + _CHURN + " SELECT count(*) AS total_customers FROM features"
+_Q["churn_matrix"] = ", " + _CHURN + """,
+onehot AS (
+  SELECT * EXCLUDE (first_ts, preferred_payment), 'pay_' || preferred_payment AS pay_key, 1 AS one
+  FROM features)
+SELECT * FROM (PIVOT onehot ON pay_key USING coalesce(max(one), 0))"""
+
 def _full(body: str) -> str:
     body = body.strip()
     if body.startswith(","):
