@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from mercato.operators import churn, clean, customers, delivery, fraud, geo, profile, sales
+from mercato.operators import churn, churn_model, clean, customers, delivery, forecast, fraud, geo, profile, sales
 from mercato.operators.fact import FACT_COLUMNS, delivered, orders_with_items
 from mercato.plans.context import Context
 
@@ -245,3 +245,66 @@ def _customer_card(spark, sf_dir):
 def _churn_customer_count(spark, sf_dir):
     f = churn.churn_features(Context(spark, sf_dir).fact)
     return f.agg(F.count(F.lit(1)).alias("total_customers"))
+
+
+# Models and forecasts (rows-only checks: the fits have no SQL form)
+def _split(spark, sf_dir):
+    return churn_model.stratified_split(churn.churn_matrix(churn.churn_features(Context(spark, sf_dir).fact)))
+
+
+@query("churn_split_counts")
+def _split_counts(spark, sf_dir):
+    return _split(spark, sf_dir).groupBy("churn", "split").agg(F.count(F.lit(1)).alias("customers"))
+
+
+def _fitted(spark, sf_dir):
+    split = _split(spark, sf_dir)
+    model = churn_model.fit_churn_model(split)
+    return model, split
+
+
+@query("churn_model_metrics")
+def _model_metrics(spark, sf_dir):
+    model, split = _fitted(spark, sf_dir)
+    auc = churn_model.evaluate(model, split)
+    counts = split.groupBy().agg(
+        F.sum((F.col("split") == "train").cast("bigint")).alias("train_rows"),
+        F.sum((F.col("split") == "test").cast("bigint")).alias("test_rows"),
+        F.sum(F.col("is_val").cast("bigint")).alias("validation_rows"))
+    return counts.select(F.lit(auc).alias("test_auc"), "train_rows", "test_rows", "validation_rows")
+
+
+@query("churn_scores")
+def _churn_scores(spark, sf_dir):
+    model, split = _fitted(spark, sf_dir)
+    return churn_model.score_customers(model, split)
+
+
+@query("churn_drivers")
+def _churn_drivers(spark, sf_dir):
+    split = _split(spark, sf_dir)
+    return churn_model.churn_drivers(split.drop("split", "is_val"), 10,
+                                     train=split.where(F.col("split") == "train").drop("split", "is_val"))
+
+
+@query("revenue_forecast")
+def _revenue_forecast(spark, sf_dir):
+    return forecast.revenue_forecast(Context(spark, sf_dir).fact)
+
+
+@query("forecast_metrics")
+def _forecast_metrics(spark, sf_dir):
+    fact = Context(spark, sf_dir).fact
+    actual = forecast.daily_series(fact)
+    fc = forecast.revenue_forecast(fact).select("series", "ds", "yhat")
+    return forecast.forecast_metrics(actual, fc)
+
+
+@query("forecast_metrics_given")
+def _forecast_metrics_given(spark, sf_dir):
+    """FC3 on a given (ds, yhat) frame: the actual daily revenue plays the
+    forecast of its own last 180 days, so the KPI logic is checked exactly."""
+    dr = sales.daily_revenue(Context(spark, sf_dir).fact).withColumn("series", F.lit("total"))
+    cut = dr.agg(F.max("ds")).scalar()
+    actual = dr.where(F.col("ds") <= F.date_sub(cut, 180))
+    return forecast.forecast_metrics(actual, dr.select("series", "ds", F.col("y").alias("yhat")))

@@ -453,6 +453,22 @@ onehot AS (
   FROM features)
 SELECT * FROM (PIVOT onehot ON pay_key USING coalesce(max(one), 0))"""
 
+# --- forecast KPIs on a given frame ------------------------------------------
+_Q["forecast_metrics_given"] = """
+, dr AS (SELECT purchase_date AS ds, CAST(coalesce(sum(payment_value), 0) AS DOUBLE) AS y
+         FROM delivered WHERE purchase_date IS NOT NULL GROUP BY 1),
+act AS (SELECT * FROM dr WHERE ds <= (SELECT max(ds) FROM dr) - INTERVAL 180 DAY),
+lst AS (SELECT max(ds) AS last_ds, arg_max(y, ds) AS last_y FROM act),
+fut AS (SELECT dr.ds, dr.y AS yhat FROM dr, lst WHERE dr.ds > lst.last_ds),
+tot AS (SELECT count(*) AS forecast_days, round(sum(yhat), 2) AS total_forecast,
+               arg_max(yhat, ds) AS final_forecast FROM fut),
+monthly AS (SELECT date_trunc('month', ds) AS month, sum(yhat) AS month_yhat FROM fut GROUP BY 1),
+peak AS (SELECT month, month_yhat FROM monthly ORDER BY month_yhat DESC, month LIMIT 1)
+SELECT 'total' AS series, forecast_days, total_forecast,
+       (final_forecast - last_y) / last_y * 100 AS predicted_growth_pct,
+       strftime(month, '%b %Y') AS peak_month, round(month_yhat, 2) AS peak_revenue
+FROM tot, lst, peak"""
+
 def _full(body: str) -> str:
     body = body.strip()
     if body.startswith(","):
