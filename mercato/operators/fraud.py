@@ -84,3 +84,10 @@ def fraud_top(fact: DataFrame, k: int = 20) -> DataFrame:
     return (fraud_cases(fact)
             .orderBy(F.desc("value_ratio"), "customer_unique_id", "order_sequence")
             .limit(k).select(*TOP_COLUMNS))
+
+
+def export_fraud_cases(fact: DataFrame, path: str) -> None:
+    """SNK4: every fraud case as CSV with a header (written by the executors,
+    one file per task, never through the driver)."""
+    from mercato.sources.io import write_csv
+    write_csv(fraud_cases(fact), path)

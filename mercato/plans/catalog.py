@@ -308,3 +308,19 @@ def _forecast_metrics_given(spark, sf_dir):
     cut = dr.agg(F.max("ds")).scalar()
     actual = dr.where(F.col("ds") <= F.date_sub(cut, 180))
     return forecast.forecast_metrics(actual, dr.select("series", "ds", F.col("y").alias("yhat")))
+
+
+@query("risk_tier")
+def _risk_tier(spark, sf_dir):
+    """CH8 on a given probability column: each customer's late-order share
+    stands in for a model output, so the tier rule is checked exactly."""
+    f = churn.churn_features(Context(spark, sf_dir).fact)
+    return f.select("customer_unique_id", F.col("pct_late").alias("probability"),
+                    churn_model.risk_tier(F.col("pct_late")).alias("risk_level"))
+
+
+# P5: the single-state forms of the regional preference views
+QUERIES["state_top_categories_state"] = lambda spark, sf_dir: geo.state_top_categories(
+    Context(spark, sf_dir).fact, state=STATE)
+QUERIES["state_vs_national_state"] = lambda spark, sf_dir: geo.state_vs_national(
+    Context(spark, sf_dir).fact, state=STATE)

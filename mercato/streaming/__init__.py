@@ -1,0 +1,7 @@
+"""Streaming: none.
+
+The studied system reads whole files and has no stream, watermark, event-time
+window or state (SURVEY 2.10), so nothing is built here.  Every mercato
+analytic is a DataFrame function; one that is stateless per row would run
+unchanged inside a ``foreachBatch`` sink if streams were ever added.
+"""

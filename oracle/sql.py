@@ -469,6 +469,16 @@ SELECT 'total' AS series, forecast_days, total_forecast,
        strftime(month, '%b %Y') AS peak_month, round(month_yhat, 2) AS peak_revenue
 FROM tot, lst, peak"""
 
+_Q["risk_tier"] = ", " + _CHURN + """
+SELECT customer_unique_id, pct_late AS probability,
+       CASE WHEN pct_late >= 0.8 THEN 'VERY HIGH RISK' WHEN pct_late >= 0.6 THEN 'HIGH RISK'
+            WHEN pct_late >= 0.4 THEN 'MONITOR' ELSE 'SAFE' END AS risk_level
+FROM features"""
+_Q["state_top_categories_state"] = ", " + _STATE_CAT + """
+SELECT customer_state, revenue_rank, category, CAST(rev AS DOUBLE) AS revenue, orders
+FROM ranked WHERE revenue_rank <= 10 AND customer_state = 'NATION_1'"""
+_Q["state_vs_national_state"] = _Q["state_vs_national"] + " AND r.customer_state = 'NATION_1'"
+
 def _full(body: str) -> str:
     body = body.strip()
     if body.startswith(","):
