@@ -108,6 +108,11 @@ def _state_category(fact: DataFrame, start, end) -> DataFrame:
         F.sum("rev").alias("revenue_dec"), F.count(F.lit(1)).alias("orders"))
 
 
+def _ranked(sc: DataFrame) -> DataFrame:
+    w = Window.partitionBy("customer_state").orderBy(F.desc("revenue_dec"), F.asc("category"))
+    return sc.withColumn("revenue_rank", F.row_number().over(w).cast("bigint"))
+
+
 def state_top_categories(fact: DataFrame, state: str | None = None, k: int = 10,
                          start=None, end=None) -> DataFrame:
     """Each state's k categories with most revenue, with distinct orders.
@@ -116,33 +121,31 @@ def state_top_categories(fact: DataFrame, state: str | None = None, k: int = 10,
     sc = _state_category(fact, start, end)
     if state is not None:
         sc = sc.where(F.col("customer_state") == state)
-    w = Window.partitionBy("customer_state").orderBy(F.desc("revenue_dec"), F.asc("category"))
-    return (sc.withColumn("revenue_rank", F.row_number().over(w)).where(F.col("revenue_rank") <= k)
-              .select("customer_state", F.col("revenue_rank").cast("bigint").alias("revenue_rank"), "category",
-                      money("revenue_dec").alias("revenue"), "orders"))
+    return (_ranked(sc).where(F.col("revenue_rank") <= k)
+            .select("customer_state", "revenue_rank", "category", money("revenue_dec").alias("revenue"), "orders"))
 
 
 def state_vs_national(fact: DataFrame, state: str | None = None, k: int = 10,
                       start=None, end=None) -> DataFrame:
     """For each state's top-k categories: share of the state's revenue,
     share of national revenue, and the difference (percent).  Denominators
-    cover non-null categories only.  Totals come from windows over the
-    aggregated tables (one row per category), never over raw rows."""
+    cover non-null categories only.  One (state, category) aggregate feeds
+    the rank, the state totals (a window over the same state partitioning)
+    and the national shares (one row per category)."""
     sc = _state_category(fact, start, end)
     state_tot = Window.partitionBy("customer_state")
-    sc = sc.withColumn("state_pct", F.col("revenue_dec").cast("double")
-                       / F.sum("revenue_dec").over(state_tot).cast("double") * 100)
+    ranked = _ranked(sc).withColumn(
+        "state_pct", F.col("revenue_dec").cast("double") / F.sum("revenue_dec").over(state_tot).cast("double") * 100)
     nat = sc.groupBy("category").agg(F.sum("revenue_dec").alias("nat_rev"))
     nat = nat.withColumn("national_pct", F.col("nat_rev").cast("double")
                          / F.sum("nat_rev").over(Window.partitionBy()).cast("double") * 100)
-    top = state_top_categories(fact, state, k, start, end).select("customer_state", "revenue_rank", "category")
-    out = (top.join(sc.select("customer_state", "category", "state_pct"), ["customer_state", "category"])
-              .join(nat.select("category", "national_pct"), "category", "left"))
-    return out.select("customer_state", "revenue_rank", "category",
-                      F.coalesce("state_pct", F.lit(0.0)).alias("state_pct"),
-                      F.coalesce("national_pct", F.lit(0.0)).alias("national_pct"),
-                      (F.coalesce("state_pct", F.lit(0.0)) - F.coalesce("national_pct", F.lit(0.0)))
-                      .alias("difference"))
+    top = ranked.where(F.col("revenue_rank") <= k)
+    if state is not None:
+        top = top.where(F.col("customer_state") == state)
+    out = top.join(nat.select("category", "national_pct"), "category", "left")
+    sp, npct = F.coalesce("state_pct", F.lit(0.0)), F.coalesce("national_pct", F.lit(0.0))
+    return out.select("customer_state", "revenue_rank", "category", sp.alias("state_pct"),
+                      npct.alias("national_pct"), (sp - npct).alias("difference"))
 
 
 def distinct_states(fact: DataFrame, start=None, end=None) -> DataFrame:
