@@ -50,10 +50,15 @@ def test_risk_tiers_and_recency_scaling(spark):
 def test_purchase_gaps_against_brute_force(spark):
     fact = Context(spark, SMALL).fact
     got = {r[0]: (r[1], r[2]) for r in churn.purchase_gaps(fact).collect()}
-    rows, _ = churn._feature_period(fact)
+    from mercato.operators.fact import delivered
+    rows = delivered(fact).select("customer_unique_id", "purchase_date").collect()
+    end = max(r[1] for r in rows)
+    cutoff = end - dt.timedelta(days=90)
     per = {}
-    for r in rows.select("customer_unique_id", "purchase_ts").collect():
-        per.setdefault(r[0], []).append(r[1])
+    for cust, day in rows:
+        if cust is not None and day <= cutoff:
+            per.setdefault(cust, []).append(day)
+    assert set(per) == set(got)
     for cust, ts in per.items():
         ts.sort()
         gaps = [(b - a).days for a, b in zip(ts, ts[1:])]
