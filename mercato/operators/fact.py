@@ -29,33 +29,45 @@ def orders_with_items(orders: DataFrame, items: DataFrame) -> DataFrame:
     return orders.join(items.select("order_id"), "order_id", "left_semi")
 
 
+def order_level(cl: CleanTables) -> DataFrame:
+    """Everything keyed by order: delivered orders with their customer, the
+    per-order payment summary and the reviews (an order with two reviews
+    gives two rows).  Payments and reviews attach to items of *every* order,
+    delivered or not, so the three sides are full-outer-joined on order_id:
+    an item's left join to this table then yields exactly the rows of three
+    successive left joins.  All of it is order grain - far smaller than the
+    items - so these joins shuffle small tables only."""
+    orders = cl.orders.select(
+        "order_id", "customer_id", "order_status", "order_purchase_timestamp",
+        "order_delivered_customer_date", "order_estimated_delivery_date", "delivery_time",
+        "delay_vs_estimated")
+    reviews = cl.reviews.select("order_id", "review_no", "review_score", "review_comment_title",
+                                "review_comment_message")
+    return (orders.join(cl.customers, "customer_id", "left")
+                  .join(cl.payments_agg, "order_id", "full")
+                  .join(reviews, "order_id", "full"))
+
+
 def build_fact(cl: CleanTables) -> DataFrame:
     """Items left-joined to orders, customers, products, sellers, per-order
     payments and reviews.
 
     Grain = item x review: reviews are not reduced per order, and the order's
-    payment total repeats on every row (T10), as in the studied ETL.  Plan:
-    customers meet the (smaller, filtered) orders first; then the three
-    order_id-keyed joins run back to back so Spark keeps one hash partitioning
-    on order_id for all of them; the product and seller dimensions are left to
-    AQE, which broadcasts them only when their measured size is small.
+    payment total repeats on every row (T10), as in the studied ETL.  Left
+    joins whose keys come from the items commute, so the plan is reordered
+    for scale: the product and seller dimensions meet the narrow item rows
+    (AQE broadcasts them when their measured size is small, else sort-merge),
+    the order-level side is assembled on its own, and the items take part in
+    one order_id join - a single sort-merge join that AQE's skew handling can
+    split if one order is hot.
     """
-    orders = cl.orders.select(
-        "order_id", "customer_id", "order_status", "order_purchase_timestamp",
-        "order_delivered_customer_date", "order_estimated_delivery_date", "delivery_time",
-        "delay_vs_estimated")
-    order_cust = orders.join(cl.customers, "customer_id", "left")
     products = cl.products.select("product_id", "product_category_name", "category", "product_weight_g")
     sellers = cl.sellers.select("seller_id", "seller_zip_code_prefix", "seller_state")
-    reviews = cl.reviews.select("order_id", "review_no", "review_score", "review_comment_title",
-                                "review_comment_message")
 
     f = (cl.order_items
-         .join(order_cust, "order_id", "left")
-         .join(cl.payments_agg, "order_id", "left")
-         .join(reviews, "order_id", "left")
          .join(products, "product_id", "left")
-         .join(sellers, "seller_id", "left"))
+         .join(sellers, "seller_id", "left")
+         .join(order_level(cl), "order_id", "left"))
 
     ts = F.col("order_purchase_timestamp")
     f = f.withColumns({

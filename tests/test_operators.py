@@ -95,3 +95,30 @@ def test_date_range_filter_is_inclusive(spark):
                                "purchase_date date, purchase_month string")
     assert date_range(df, "2020-01-02", "2020-01-03").count() == 2
     assert date_range(df).count() == 3
+
+
+def test_reordered_fact_equals_naive_left_join_chain(spark):
+    """build_fact reorders the joins for scale; it must equal the plain chain
+    items -> orders -> customers -> products -> sellers -> payments -> reviews."""
+    from mercato.operators.clean import clean
+    from mercato.operators.fact import build_fact
+    from mercato.sources.binding import test_translation
+    ctx = Context(spark, SMALL)
+    cl = clean(ctx.src, translation_builder=test_translation)
+    naive = (cl.order_items
+             .join(cl.orders, "order_id", "left")
+             .join(cl.customers, "customer_id", "left")
+             .join(cl.products, "product_id", "left")
+             .join(cl.sellers, "seller_id", "left")
+             .join(cl.payments_agg, "order_id", "left")
+             .join(cl.reviews, "order_id", "left"))
+    cols = ["order_id", "order_item_id", "product_id", "seller_id", "price", "freight_value", "customer_id",
+            "order_status", "customer_unique_id", "category", "seller_state", "payment_value", "payment_type",
+            "review_no", "review_score", "review_comment_message"]
+    fast = build_fact(cl).select(*cols)
+    assert fast.count() == naive.count()
+    assert fast.exceptAll(naive.select(*cols)).count() == 0
+    assert naive.select(*cols).exceptAll(fast).count() == 0
+    # undelivered orders keep their payments and reviews
+    undelivered = fast.where(F.col("order_status").isNull() & F.col("payment_value").isNotNull())
+    assert undelivered.count() > 0
