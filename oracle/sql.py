@@ -116,7 +116,7 @@ _Q["seller_performance"] = ", " + _SELLER + " SELECT * FROM seller_full"
 _Q["top_seller_states"] = ", " + _SELLER + """
 SELECT * FROM seller_full ORDER BY total_revenue DESC, seller_state LIMIT 15"""
 _Q["seller_kpis"] = ", " + _SELLER + """
-SELECT count(*) AS total_seller_states, sum(unique_sellers) AS total_active_sellers,
+SELECT count(*) AS total_seller_states, CAST(sum(unique_sellers) AS BIGINT) AS total_active_sellers,
        round(avg(avg_orders_per_seller), 6) AS avg_orders_per_seller
 FROM seller_full"""
 
@@ -449,7 +449,7 @@ WHERE customer_unique_id = (SELECT min(customer_unique_id) FROM features)"""
 _Q["churn_customer_count"] = ", " + _CHURN + " SELECT count(*) AS total_customers FROM features"
 _Q["churn_matrix"] = ", " + _CHURN + """,
 onehot AS (
-  SELECT * EXCLUDE (first_ts, preferred_payment), 'pay_' || preferred_payment AS pay_key, 1 AS one
+  SELECT * EXCLUDE (first_ts, preferred_payment), 'pay_' || preferred_payment AS pay_key, CAST(1 AS BIGINT) AS one
   FROM features)
 SELECT * FROM (PIVOT onehot ON pay_key USING coalesce(max(one), 0))"""
 
