@@ -6,7 +6,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from mercato.session import get_spark  # noqa: E402
+from mercato.session import checkpoint_root, get_spark  # noqa: E402
 
 SMALL = "/root/testdata/sf0.001"
 MEDIUM = "/root/testdata/sf0.01"
@@ -15,7 +15,7 @@ MEDIUM = "/root/testdata/sf0.01"
 @pytest.fixture(scope="session")
 def spark():
     s = get_spark(8, shuffle_partitions=8, app="mercato-tests")
-    s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="mercato-test-ckpt-"))
+    checkpoint_root(s)  # the session's spark.checkpoint.dir; a temporary one only when unset
     yield s
     s.stop()
 
