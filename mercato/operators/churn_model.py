@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from mercato.operators.churn import CUST, FEATURE_COLUMNS
 from mercato.operators.sequence import sequence_within
+from mercato.session import checkpoint_root
 
 SEED = 42
 TEST_FRACTION = 0.2
@@ -75,6 +76,12 @@ def fit_churn_model(split: DataFrame, max_iter: int = 50, max_depth: int = 9, st
     feats = feature_columns(split.drop("split"))
     train = split.where(F.col("split") == "train")
     train = train.withColumn("weight", class_weight(train)).withColumn("label", F.col("churn").cast("double"))
+    # The booster passes over its input several times (metadata, split
+    # candidates, caching); a reliable checkpoint in the shared folder makes
+    # those passes read the finished training table instead of re-running the
+    # feature pipeline, and survives lost executors.
+    checkpoint_root(split.sparkSession)
+    train = train.checkpoint(eager=True)
     assembler = VectorAssembler(inputCols=feats, outputCol="features", handleInvalid="keep")
     gbt = GBTClassifier(labelCol="label", featuresCol="features", weightCol="weight",
                         validationIndicatorCol="is_val", maxIter=max_iter, maxDepth=max_depth,
