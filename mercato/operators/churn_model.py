@@ -161,3 +161,50 @@ def save_model(model: ChurnModel, path: str) -> None:
 def load_model(path: str) -> ChurnModel:
     pm = PipelineModel.load(path)
     return ChurnModel(pipeline=pm, features=list(pm.stages[0].getInputCols()))
+
+
+@dataclass
+class ChurnAssets:
+    model: ChurnModel
+    features: DataFrame   # the churn matrix (one row per customer), read back from storage
+    scores: DataFrame     # CH7 + CH8 for every customer
+    drivers: DataFrame    # CH9, top drivers per customer
+
+
+def churn_assets(fact: DataFrame, root: str, rebuild: bool = False) -> ChurnAssets:
+    """SNK5 + SNK6: load the stored model and tables when all are complete,
+    else build the feature matrix, fit, score and explain, store everything
+    under ``root`` (a shared folder) and read it back."""
+    from mercato.operators.churn import churn_features, churn_matrix
+    from mercato.sources.io import path_complete, write_parquet
+    spark = fact.sparkSession
+    paths = {k: f"{root.rstrip('/')}/{k}" for k in ("model", "features", "scores", "drivers")}
+    have = all(path_complete(spark, paths[k]) for k in ("features", "scores", "drivers")) and \
+        path_complete(spark, paths["model"] + "/metadata")
+    if rebuild or not have:
+        matrix = churn_matrix(churn_features(fact))
+        write_parquet(matrix, paths["features"])
+        matrix = spark.read.parquet(paths["features"])
+        split = stratified_split(matrix)
+        model = fit_churn_model(split)
+        evaluate(model, split)
+        save_model(model, paths["model"])
+        write_parquet(score_customers(model, matrix), paths["scores"])
+        train = split.where(F.col("split") == "train").drop("split", "is_val")
+        write_parquet(churn_drivers(matrix, 10, train=train), paths["drivers"])
+    model = load_model(paths["model"])
+    return ChurnAssets(model=model, features=spark.read.parquet(paths["features"]),
+                       scores=spark.read.parquet(paths["scores"]), drivers=spark.read.parquet(paths["drivers"]))
+
+
+def customer_report(assets: ChurnAssets, customer_id) -> DataFrame:
+    """CH10 for one customer: the card (orders, recency, spend), the adjusted
+    probability and tier, and the top drivers as an array - filters on the
+    stored tables, no model call per request."""
+    cid = F.lit(customer_id)
+    card = assets.features.where(F.col(CUST) == cid).select(CUST, "num_orders", "recency", "total_spent")
+    score = assets.scores.where(F.col(CUST) == cid)
+    drivers = (assets.drivers.where(F.col(CUST) == cid).groupBy(CUST)
+               .agg(F.sort_array(F.collect_list(F.struct("driver_rank", "feature", "contribution")))
+                    .alias("top_drivers")))
+    return card.join(score, CUST, "left").join(drivers, CUST, "left")

@@ -91,3 +91,9 @@ def export_fraud_cases(fact: DataFrame, path: str) -> None:
     one file per task, never through the driver)."""
     from mercato.sources.io import write_csv
     write_csv(fraud_cases(fact), path)
+
+
+def fraud_candidates(fact: DataFrame, path: str, rebuild: bool = False) -> DataFrame:
+    """SNK5: the stored fraud cases, computed and written on first use."""
+    from mercato.sources.io import materialize
+    return materialize(fact.sparkSession, path, lambda: fraud_cases(fact), overwrite=rebuild)

@@ -45,3 +45,30 @@ def test_materialize_builds_once(spark, tmpdir_path):
     assert len(calls) == 1 and a.count() == b.count() == 10
     write_parquet(spark.range(3), os.path.join(tmpdir_path, "pub"))
     assert spark.read.parquet(os.path.join(tmpdir_path, "pub")).count() == 3
+
+
+def test_churn_assets_are_built_once_and_reloaded(spark, tmpdir_path):
+    from mercato.operators import churn_model
+    fact = Context(spark, SMALL).fact
+    root = os.path.join(tmpdir_path, "churn")
+    a = churn_model.churn_assets(fact, root)
+    n = a.scores.count()
+    assert n == a.features.count() > 0
+    stamp = os.path.getmtime(os.path.join(root, "scores", "_SUCCESS"))
+    b = churn_model.churn_assets(fact, root)
+    assert os.path.getmtime(os.path.join(root, "scores", "_SUCCESS")) == stamp
+    assert b.scores.count() == n
+    cid = b.features.agg(F.min("customer_unique_id")).first()[0]
+    rep = churn_model.customer_report(b, cid).collect()
+    assert len(rep) == 1 and rep[0]["risk_level"] is not None and len(rep[0]["top_drivers"]) <= 10
+
+
+def test_fraud_candidates_materialize(spark, tmpdir_path):
+    from mercato.operators import fraud
+    fact = Context(spark, SMALL).fact
+    path = os.path.join(tmpdir_path, "fraud")
+    first = fraud.fraud_candidates(fact, path)
+    assert first.count() == fraud.fraud_cases(fact).count()
+    fraud.export_fraud_cases(fact, os.path.join(tmpdir_path, "fraud_csv"))
+    back = spark.read.option("header", True).csv(os.path.join(tmpdir_path, "fraud_csv"))
+    assert back.count() == first.count()
