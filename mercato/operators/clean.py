@@ -29,8 +29,11 @@ def parse_timestamps(df: DataFrame, cols: Sequence[str], fmt: str | None = None)
 
 
 def coerce_timestamps(df: DataFrame, cols: Sequence[str], fmt: str = "yyyy-MM-dd HH:mm:ss") -> DataFrame:
-    """CLN3: parse, malformed -> NULL (``errors='coerce'``)."""
-    return df.withColumns({c: F.try_to_timestamp(F.col(c), F.lit(fmt)).cast("timestamp_ntz")
+    """CLN3: parse, malformed -> NULL (``errors='coerce'``).  The lenient
+    parse only tests validity; the value comes from the wall-clock
+    (``timestamp_ntz``) parser, so no session time zone can shift it."""
+    return df.withColumns({c: F.when(F.try_to_timestamp(F.col(c), F.lit(fmt)).isNotNull(),
+                                     F.to_timestamp_ntz(F.col(c), F.lit(fmt)))
                            for c in cols})
 
 
