@@ -25,7 +25,10 @@ TOP_COLUMNS = ["order_id", "customer_unique_id", "order_value_current", "order_v
 def order_sequence(fact: DataFrame) -> DataFrame:
     """W1 + W3: every customer row numbered by purchase time, with the
     customer's first row's order value and zip."""
-    rows = keyed(fact, "customer_unique_id").withColumn("order_value", F.col("payment_value"))
+    # Only the columns fraud scoring uses: the numbering checkpoints its input,
+    # and column pruning cannot reach through a checkpoint.
+    keep = dict.fromkeys(["customer_unique_id", *SEQUENCE_ORDER, "customer_zip_code_prefix"])
+    rows = keyed(fact, "customer_unique_id").select(*keep, F.col("payment_value").alias("order_value"))
     return sequence_within(rows, ["customer_unique_id"], SEQUENCE_ORDER, name="order_sequence",
                            first_cols=["order_value", "customer_zip_code_prefix"])
 
