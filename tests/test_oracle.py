@@ -44,3 +44,22 @@ def test_entry_smoke(spark):
 
 def test_every_query_has_a_callable():
     assert set(E.oracle_sql()) <= set(E.queries())
+
+
+ROWS_ONLY = sorted(set(E.queries()) - set(E.oracle_sql()))
+EXPECTED_COLUMNS = {
+    "churn_split_counts": ["churn", "split", "customers"],
+    "churn_model_metrics": ["test_auc", "train_rows", "test_rows", "validation_rows"],
+    "churn_scores": ["customer_unique_id", "model_probability", "churn_probability", "risk_level"],
+    "churn_drivers": ["customer_unique_id", "driver_rank", "feature", "contribution"],
+    "revenue_forecast": ["series", "ds", "yhat", "yhat_lower", "yhat_upper", "is_future"],
+    "forecast_metrics": ["series", "forecast_days", "total_forecast", "predicted_growth_pct", "peak_month",
+                         "peak_revenue"],
+}
+
+
+@pytest.mark.parametrize("key", ROWS_ONLY)
+def test_rows_only_queries_run(spark, key):
+    df = E.queries()[key](spark, SMALL)
+    assert df.columns == EXPECTED_COLUMNS[key]
+    assert df.count() > 0
