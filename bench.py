@@ -30,6 +30,7 @@ RUNS = int(os.environ.get("BENCH_RUNS", "3"))
 # AQE's target partition size, sized to the data: the sf0.1 fact is ~27 MB,
 # so 8 MB keeps 8 cores busy; a cluster at 100 TB keeps the 64 MB default.
 ADVISORY = os.environ.get("BENCH_ADVISORY_PARTITION", "8m")
+SHUFFLE_PARTITIONS = int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", str(CPUS)))
 
 
 def sf_of(path: str) -> float | str:
@@ -51,7 +52,7 @@ def timed(fn) -> float:
 
 
 def main() -> None:
-    spark = get_spark(CPUS, shuffle_partitions=CPUS * 2, app="mercato-bench",
+    spark = get_spark(CPUS, shuffle_partitions=SHUFFLE_PARTITIONS, app="mercato-bench",
                       extra={"spark.sql.adaptive.advisoryPartitionSizeInBytes": ADVISORY})
     root = checkpoint_root(spark)
     ctx = Context(spark, SF_DIR)
@@ -105,7 +106,7 @@ def main() -> None:
         "sf": sf_of(SF_DIR),
         "cpus": CPUS,
         "runs": RUNS,
-        "spark_conf": {"shuffle_partitions": CPUS * 2, "aqe": True, "advisory_partition": ADVISORY},
+        "spark_conf": {"shuffle_partitions": SHUFFLE_PARTITIONS, "aqe": True, "advisory_partition": ADVISORY},
     }
     print(json.dumps(out))
     spark.stop()
