@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from mercato.operators.clean import CleanTables, clean
 from mercato.operators.fact import build_fact
-from mercato.sources.binding import bind, test_translation
+from mercato.sources.binding import bind, derived_translation
 from mercato.sources.tables import SourceTables
 
 
@@ -31,7 +31,7 @@ class Context:
 
     @cached_property
     def clean(self) -> CleanTables:
-        return clean(self.src, translation_builder=test_translation)
+        return clean(self.src, translation_builder=derived_translation)
 
     @property
     def fact(self) -> DataFrame:

@@ -113,7 +113,7 @@ def bind(spark: SparkSession, sf_dir: str) -> SourceTables:
                         sellers=sellers, category_translation=None)
 
 
-def test_translation(products_clean: DataFrame) -> DataFrame:
+def derived_translation(products_clean: DataFrame) -> DataFrame:
     """Stand-in for the translation service (CLN8): one label per distinct
     category.  brand_1 and brand_2 share a label so that two categories merge
     in later groupings, as two source names with one translation do."""

@@ -102,9 +102,9 @@ def test_reordered_fact_equals_naive_left_join_chain(spark):
     items -> orders -> customers -> products -> sellers -> payments -> reviews."""
     from mercato.operators.clean import clean
     from mercato.operators.fact import build_fact
-    from mercato.sources.binding import test_translation
+    from mercato.sources.binding import derived_translation
     ctx = Context(spark, SMALL)
-    cl = clean(ctx.src, translation_builder=test_translation)
+    cl = clean(ctx.src, translation_builder=derived_translation)
     naive = (cl.order_items
              .join(cl.orders, "order_id", "left")
              .join(cl.customers, "customer_id", "left")
