@@ -27,6 +27,11 @@ def test_sequence_within_matches_row_number_on_a_hot_group(spark):
         got = {(r["g"], r["id"]): (r["seq"], r["first_v"]) for r in
                sequence_within(df, ["g"], ["t", "id"], first_cols=["v"], num_partitions=n).collect()}
         assert got == want
+    # the property the operator relies on: range partitioning on (group, order)
+    # spreads the hot group over several slices instead of one task
+    slices = (df.repartitionByRange(8, "g", "t", "id").where(F.col("g") == "hot")
+                .select(F.spark_partition_id().alias("p")).distinct().count())
+    assert slices >= 4
 
 
 def test_fraud_score_table(spark):
