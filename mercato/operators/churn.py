@@ -3,7 +3,8 @@
 Plan: the delivered rows are read once and reduced by a partial aggregate
 to (customer, order) grain; label, features, payment mode and gaps all
 derive from that table, so no distinct aggregate and no per-customer row
-window is needed and the fact is scanned once.  The purchase gaps (W2) use a
+window is needed.  That table is checkpointed to the shared folder, so the
+fact is scanned once although the branches use different columns of it.  The purchase gaps (W2) use a
 window over each customer's *distinct purchase dates*, whose number is
 bounded by the calendar, not by the rows.  The global end date is a scalar
 subquery (one value, computed once), never a cross join.
