@@ -50,12 +50,18 @@ def fill_text(df: DataFrame, values: dict) -> DataFrame:
     return df.fillna(values)
 
 
-def impute_group_median(df: DataFrame, group: str, cols: Sequence[str]) -> DataFrame:
+def group_medians(df: DataFrame, group: str, cols: Sequence[str]) -> DataFrame:
+    """One row per group with the median of each column (one partially
+    aggregated ``groupBy`` for all columns)."""
+    return df.groupBy(group).agg(*[F.median(c).alias(f"__med_{c}") for c in cols])
+
+
+def impute_group_median(df: DataFrame, group: str, cols: Sequence[str],
+                        medians: DataFrame | None = None) -> DataFrame:
     """CLN6: fill NULLs with the median of the row's group; an all-NULL group
-    stays NULL.  One partially aggregated ``groupBy`` computes the medians of
-    every column at once; the per-group table (one row per group) is joined
-    back, broadcast by AQE when it is small."""
-    med = df.groupBy(group).agg(*[F.median(c).alias(f"__med_{c}") for c in cols])
+    stays NULL.  The per-group table (one row per group) is joined back,
+    broadcast by AQE when it is small."""
+    med = medians if medians is not None else group_medians(df, group, cols)
     out = df.join(med, group, "left")
     return out.select(*[F.coalesce(F.col(c), F.col(f"__med_{c}")).alias(c) if c in cols else F.col(c)
                         for c in df.columns])
@@ -113,10 +119,12 @@ class CleanTables:
 def clean_products(products: DataFrame, translation: DataFrame | None = None,
                    translation_builder=None) -> tuple[DataFrame, DataFrame]:
     filled = fill_text(dedupe(products, "product_id"), {"product_category_name": "unknown"})
-    imputed = impute_group_median(filled, "product_category_name",
-                                  [c for c in PRODUCT_NUMERIC if c in filled.columns])
+    cols = [c for c in PRODUCT_NUMERIC if c in filled.columns]
+    med = group_medians(filled, "product_category_name", cols)
+    imputed = impute_group_median(filled, "product_category_name", cols, medians=med)
     if translation is None and translation_builder is not None:
-        translation = translation_builder(imputed)
+        # the median table already holds each category once
+        translation = translation_builder(med)
     return label_categories(imputed, translation), translation
 
 
