@@ -43,18 +43,21 @@ def daily_series(fact: DataFrame, by: tuple[str, ...] = ("total", "category", "c
     return rows.groupBy("series", F.col("purchase_date").alias("ds")).agg(money(nz_sum("payment_value")).alias("y"))
 
 
-def _design(t: np.ndarray, changepoints: np.ndarray, days: np.ndarray) -> np.ndarray:
+def _design(t: np.ndarray, changepoints: np.ndarray, days: np.ndarray,
+            seasonalities=((YEARLY_ORDER, 365.25), (WEEKLY_ORDER, 7.0))) -> np.ndarray:
     cols = [np.ones_like(t), t]
     cols += [np.maximum(0.0, t - c) for c in changepoints]
-    for order, period in ((YEARLY_ORDER, 365.25), (WEEKLY_ORDER, 7.0)):
+    for order, period in seasonalities:
         for k in range(1, order + 1):
             ang = 2.0 * np.pi * k * days / period
             cols += [np.sin(ang), np.cos(ang)]
     return np.column_stack(cols)
 
 
-def fit_series(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Fit one series and predict its history plus HORIZON_DAYS days."""
+def fit_series(pdf: pd.DataFrame, horizon: int = HORIZON_DAYS, interval: float = INTERVAL,
+               yearly: bool = True, weekly: bool = True) -> pd.DataFrame:
+    """Fit one series and predict its history plus ``horizon`` days."""
+    seasonalities = tuple(sp for on, sp in ((yearly, (YEARLY_ORDER, 365.25)), (weekly, (WEEKLY_ORDER, 7.0))) if on)
     series = pdf["series"].iloc[0]
     pdf = pdf.sort_values("ds")
     ds = pd.to_datetime(pdf["ds"]).to_numpy()
@@ -64,7 +67,7 @@ def fit_series(pdf: pd.DataFrame) -> pd.DataFrame:
     span = max(days[-1], 1.0)
     t = days / span
     hist_cp = np.linspace(0, CHANGEPOINT_RANGE, N_CHANGEPOINTS + 1)[1:] if len(y) > N_CHANGEPOINTS else np.array([])
-    X = _design(t, hist_cp, days)
+    X = _design(t, hist_cp, days, seasonalities)
     scale = max(np.abs(y).max(), 1.0)
     penalty = np.zeros(X.shape[1])
     penalty[2:2 + len(hist_cp)] = RIDGE          # changepoint slopes
@@ -73,11 +76,11 @@ def fit_series(pdf: pd.DataFrame) -> pd.DataFrame:
     beta = np.linalg.solve(A + 1e-9 * np.eye(A.shape[0]), X.T @ (y / scale))
     fitted = X @ beta * scale
     resid = y - fitted
-    lo_q, hi_q = np.quantile(resid, [(1 - INTERVAL) / 2, 1 - (1 - INTERVAL) / 2]) if len(resid) else (0.0, 0.0)
+    lo_q, hi_q = np.quantile(resid, [(1 - interval) / 2, 1 - (1 - interval) / 2]) if len(resid) else (0.0, 0.0)
 
-    future_days = days[-1] + np.arange(1, HORIZON_DAYS + 1, dtype=float)
+    future_days = days[-1] + np.arange(1, horizon + 1, dtype=float)
     all_days = np.concatenate([days, future_days])
-    Xa = _design(all_days / span, hist_cp, all_days)
+    Xa = _design(all_days / span, hist_cp, all_days, seasonalities)
     yhat = Xa @ beta * scale
     out_ds = start + all_days.astype("timedelta64[D]")
     return pd.DataFrame({
@@ -86,13 +89,18 @@ def fit_series(pdf: pd.DataFrame) -> pd.DataFrame:
         "yhat": yhat,
         "yhat_lower": yhat + lo_q,
         "yhat_upper": yhat + hi_q,
-        "is_future": np.r_[np.zeros(len(days), bool), np.ones(HORIZON_DAYS, bool)],
+        "is_future": np.r_[np.zeros(len(days), bool), np.ones(horizon, bool)],
     })
 
 
-def revenue_forecast(fact: DataFrame, by: tuple[str, ...] = ("total", "category", "customer_state")) -> DataFrame:
-    """FC2: history + 180-day forecast for every series."""
-    return daily_series(fact, by).groupBy("series").applyInPandas(fit_series, FORECAST_SCHEMA)
+def revenue_forecast(fact: DataFrame, by: tuple[str, ...] = ("total", "category", "customer_state"),
+                     horizon: int = HORIZON_DAYS, interval: float = INTERVAL, yearly: bool = True,
+                     weekly: bool = True) -> DataFrame:
+    """FC2: history + ``horizon``-day forecast for every series (defaults: the
+    studied settings - 180 days, 90 % interval, yearly and weekly terms)."""
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        return fit_series(pdf, horizon, interval, yearly, weekly)
+    return daily_series(fact, by).groupBy("series").applyInPandas(fit, FORECAST_SCHEMA)
 
 
 def forecast_metrics(actual: DataFrame, forecast: DataFrame) -> DataFrame:
