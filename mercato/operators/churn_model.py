@@ -178,20 +178,27 @@ def churn_assets(fact: DataFrame, root: str, rebuild: bool = False) -> ChurnAsse
     from mercato.operators.churn import churn_features, churn_matrix
     from mercato.sources.io import path_complete, write_parquet
     spark = fact.sparkSession
+
+    def by_customer(df: DataFrame) -> DataFrame:
+        # Each file holds a contiguous, sorted id range, so a one-customer
+        # lookup (customer_report) is answered from one file: Parquet min/max
+        # statistics let the reader skip the rest.
+        return df.repartitionByRange(CUST).sortWithinPartitions(CUST)
+
     paths = {k: f"{root.rstrip('/')}/{k}" for k in ("model", "features", "scores", "drivers")}
     have = all(path_complete(spark, paths[k]) for k in ("features", "scores", "drivers")) and \
         path_complete(spark, paths["model"] + "/metadata")
     if rebuild or not have:
         matrix = churn_matrix(churn_features(fact))
-        write_parquet(matrix, paths["features"])
+        write_parquet(by_customer(matrix), paths["features"])
         matrix = spark.read.parquet(paths["features"])
         split = stratified_split(matrix)
         model = fit_churn_model(split)
         evaluate(model, split)
         save_model(model, paths["model"])
-        write_parquet(score_customers(model, matrix), paths["scores"])
+        write_parquet(by_customer(score_customers(model, matrix)), paths["scores"])
         train = split.where(F.col("split") == "train").drop("split", "is_val")
-        write_parquet(churn_drivers(matrix, 10, train=train), paths["drivers"])
+        write_parquet(by_customer(churn_drivers(matrix, 10, train=train)), paths["drivers"])
     model = load_model(paths["model"])
     return ChurnAssets(model=model, features=spark.read.parquet(paths["features"]),
                        scores=spark.read.parquet(paths["scores"]), drivers=spark.read.parquet(paths["drivers"]))
