@@ -16,18 +16,15 @@ DATE_COLS = ("order_purchase_timestamp", "order_approved_at", "order_delivered_c
 PRODUCT_NUMERIC = ("product_weight_g",)
 
 
-def dedupe(df: DataFrame, unique_key: str | None = None) -> DataFrame:
+def dedupe(df: DataFrame) -> DataFrame:
     """CLN1: drop fully duplicate rows.
 
-    By default the rows are hash-partitioned on all columns, so no single key
-    value can concentrate the work in one task.  A dimension whose key is
-    unique by definition (one customer id, product id or seller id per row)
-    cannot have a hot key, so it is deduplicated under a hash partitioning on
-    that key instead, which the following join on the key then reuses: one
-    shuffle fewer per dimension."""
-    if unique_key is None:
-        return df.dropDuplicates()
-    return df.repartition(unique_key).dropDuplicates()
+    The rows are hash-partitioned on all columns, so no single key value can
+    concentrate the work in one task.  (Deduplicating a dimension under an
+    explicit ``repartition(key)`` would save the join's own shuffle, but a
+    user repartition is not a shuffle AQE may split, so a hot key on the
+    fact side of that join would lose AQE's skew-join handling.)"""
+    return df.dropDuplicates()
 
 
 def parse_timestamps(df: DataFrame, cols: Sequence[str], fmt: str | None = None) -> DataFrame:
@@ -118,7 +115,7 @@ class CleanTables:
 
 def clean_products(products: DataFrame, translation: DataFrame | None = None,
                    translation_builder=None) -> tuple[DataFrame, DataFrame]:
-    filled = fill_text(dedupe(products, "product_id"), {"product_category_name": "unknown"})
+    filled = fill_text(dedupe(products), {"product_category_name": "unknown"})
     cols = [c for c in PRODUCT_NUMERIC if c in filled.columns]
     med = group_medians(filled, "product_category_name", cols)
     imputed = impute_group_median(filled, "product_category_name", cols, medians=med)
@@ -133,11 +130,11 @@ def clean(src: SourceTables, translation_builder=None) -> CleanTables:
     payments = dedupe(src.payments)
     reviews = fill_text(dedupe(src.reviews), {"review_comment_title": "", "review_comment_message": ""})
     return CleanTables(
-        customers=dedupe(src.customers, "customer_id"),
+        customers=dedupe(src.customers),
         orders=delivered_orders(dedupe(src.orders)),
         order_items=dedupe(src.order_items),
         products=products,
-        sellers=dedupe(src.sellers, "seller_id"),
+        sellers=dedupe(src.sellers),
         payments=payments,
         payments_agg=payments_per_order(payments),
         reviews=reviews,
