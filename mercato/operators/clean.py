@@ -111,6 +111,7 @@ class CleanTables:
     payments_agg: DataFrame    # one row per order
     reviews: DataFrame         # text filled
     category_translation: DataFrame
+    item_keys: DataFrame | None = None  # order_id of the raw item rows (hot-key detection)
 
 
 def clean_products(products: DataFrame, translation: DataFrame | None = None,
@@ -139,4 +140,5 @@ def clean(src: SourceTables, translation_builder=None) -> CleanTables:
         payments_agg=payments_per_order(payments),
         reviews=reviews,
         category_translation=translation,
+        item_keys=src.order_items.select("order_id"),
     )

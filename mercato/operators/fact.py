@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from mercato.functions.rules import day_diff
 from mercato.operators.clean import CleanTables
+from mercato.operators.skew import salted_left_join
 
 # Column order of the fact as written (SNK1) and returned by ``build_fact``.
 FACT_COLUMNS = [
@@ -58,16 +59,17 @@ def build_fact(cl: CleanTables) -> DataFrame:
     for scale: the product and seller dimensions meet the narrow item rows
     (AQE broadcasts them when their measured size is small, else sort-merge),
     the order-level side is assembled on its own, and the items take part in
-    one order_id join - a single sort-merge join that AQE's skew handling can
-    split if one order is hot.
+    one order_id join, which splits hot orders by salting (operators/skew.py).
     """
     products = cl.products.select("product_id", "product_category_name", "category", "product_weight_g")
     sellers = cl.sellers.select("seller_id", "seller_zip_code_prefix", "seller_state")
 
-    f = (cl.order_items
-         .join(products, "product_id", "left")
-         .join(sellers, "seller_id", "left")
-         .join(order_level(cl), "order_id", "left"))
+    items = (cl.order_items
+             .join(products, "product_id", "left")
+             .join(sellers, "seller_id", "left"))
+    # The order-level side arrives partitioned by order_id, so AQE cannot
+    # split a hot order here: the join salts hot orders itself.
+    f = salted_left_join(items, order_level(cl), "order_id", detect_on=cl.item_keys)
 
     ts = F.col("order_purchase_timestamp")
     f = f.withColumns({

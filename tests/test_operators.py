@@ -127,3 +127,20 @@ def test_reordered_fact_equals_naive_left_join_chain(spark):
     # undelivered orders keep their payments and reviews
     undelivered = fast.where(F.col("order_status").isNull() & F.col("payment_value").isNotNull())
     assert undelivered.count() > 0
+
+
+def test_salted_left_join_equals_plain_left_join(spark):
+    from mercato.operators.skew import hot_keys, salted_left_join
+    rnd = random.Random(11)
+    big = spark.createDataFrame(
+        [("hot" if i % 2 == 0 else (None if i % 97 == 0 else f"k{rnd.randint(0, 300)}"), i, rnd.random())
+         for i in range(4000)], "k string, id int, v double")
+    small = spark.createDataFrame(
+        [("hot", 1, "a"), ("hot", 2, "b")] + [(f"k{j}", j, "x") for j in range(0, 300, 2)] + [("zzz", 0, "y")],
+        "k string, r int, s string")
+    assert [r[0] for r in hot_keys(big.select("k"), "k", max_hot=100).collect()] == ["hot"]
+    want = big.join(small, "k", "left")
+    got = salted_left_join(big, small, "k", salts=8, max_hot=100)
+    assert got.count() == want.count()
+    assert got.exceptAll(want.select(*got.columns)).count() == 0
+    assert want.select(*got.columns).exceptAll(got).count() == 0
