@@ -97,6 +97,9 @@ def main() -> None:
         "  checkpoint is written, and is not part of the plan shown.",
         "- Broadcast joins in these plans are AQE runtime conversions of small aggregated sides or explicit",
         "  broadcasts of fixed-size tables (histogram bins, one-row maxima).",
+        "- In `build_fact`, four scans and the extra broadcasts belong to the hot-order detection of the final",
+        "  items-to-orders join: a count of the raw `order_id` column (one pruned column), its total, and the",
+        "  broadcast of the hot-key list (at most 10,000 keys by construction) to both join sides.",
         "",
     ]
     with open(os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "PLANS.md"), "w") as fh:
