@@ -91,18 +91,17 @@ def followed(docs: DataFrame, slice_rows: int = 5000) -> DataFrame:
     cum = F.sum("n").over(Window.orderBy("fine")) - F.col("n")
     slices = stored(counts.select("fine", F.floor(cum / slice_rows).cast("int").alias("slice")), "slices")
     d = d.withColumn("fine", fine).join(F.broadcast(slices), "fine").drop("fine")  # FINE + 1 rows at most
-    order = [F.col("doc_id").desc_nulls_last(), F.col("text")]
-    w = Window.partitionBy("slice").orderBy(*order)
-    first = d.groupBy("slice").agg(F.min_by("text", F.struct(F.col("doc_id").isNull(), -F.col("doc_id"), "text")).alias("head"))
-    # one row per slice; the window over slice numbers holds no text
+    # one row per slice: its first document, filed at the end of the slice before it
     after = slices.select("slice").distinct()
-    after = after.select(F.col("slice").alias("__end"), F.coalesce(
+    after = after.select(F.col("slice").alias("before"), F.coalesce(
         F.lead("slice").over(Window.orderBy("slice")), F.lit(0)).alias("slice"))
-    heads = first.join(F.broadcast(after), "slice").select("__end", "head")
-    inside = d.select("*", F.lead("text").over(w).alias("__next"))
-    return inside.withColumn("__end", F.when(F.col("__next").isNull(), F.col("slice"))).join(
-        heads, "__end", "left").select(
-        "doc_id", "text", F.coalesce("__next", "head").alias("next"))
+    tops = d.groupBy("slice").agg(F.max("doc_id").alias("top"))
+    heads = d.join(tops, "slice").where(F.col("doc_id").eqNullSafe(F.col("top"))).groupBy("slice").agg(F.min("text").alias("text"))
+    heads = heads.join(after, "slice").select(F.col("before").alias("slice"), F.lit(None).cast("long").alias("doc_id"),
+                                              "text", F.lit(True).alias("head"))
+    w = Window.partitionBy("slice").orderBy("head", F.col("doc_id").desc_nulls_last(), "text")
+    rows = d.select("slice", "doc_id", "text", F.lit(False).alias("head")).union(heads)
+    return rows.withColumn("next", F.lead("text").over(w)).where("not head").select("doc_id", "text", "next")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
