@@ -86,42 +86,50 @@ def components(edges: DataFrame) -> DataFrame:
         e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
-def linked_groups(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame],
-                  near: Callable[[DataFrame], Column] | None = None, rounds: int = 2,
-                  payload: DataFrame | None = None) -> DataFrame:
+def shared_buckets(buckets: DataFrame) -> DataFrame:
+    """The distinct (key, node, ...) rows whose key has at least two of them, stored."""
+    buckets = buckets.distinct()
+    several = buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    return stored(buckets.join(several, "key"), "buckets")
+
+
+def linked_groups(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], quick: Callable[[], Column],
+                  near: Callable[[], Column] | None = None, payload: DataFrame | None = None, rounds: int = 2) -> DataFrame:
     """Components of the links that ``verify`` confirms among nodes sharing a bucket.
 
-    ``buckets``: distinct (key, node).  ``verify`` takes pairs (a, b) and keeps
-    the linked ones.  A bucket of m near copies is not expanded to all pairs:
-    first its members meet one pivot each round (m pairs), and then only pairs
-    of nodes still in different components are listed, which keeps every link
-    that can still join two components.  ``payload`` (node, ...) and ``near``
-    (on columns a_*, b_*) may rule out hopeless pairs inside the last join.
+    ``buckets``: stored, distinct (key, node, ...).  ``verify`` takes pairs (a, b) and
+    keeps the linked ones; ``quick`` rules out hopeless pairs by the other bucket
+    columns, named a_* and b_*.  A bucket of m near copies is not expanded to all
+    pairs: first its members meet one pivot each round (m pairs), and then only
+    pairs of nodes still in different components are listed, which keeps every
+    link that can still join two components.  ``near`` on the columns of
+    ``payload`` (node, ...) rules out more pairs of that last list.
     """
-    shared = buckets.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    buckets = stored(buckets.join(shared, "key"), "buckets")
     spark = buckets.sparkSession
     edges = spark.createDataFrame([], "a long, b long")
     comps = spark.createDataFrame([], "node long, component long")
+
+    def side(df, name):
+        return df.select("key", *[F.col(c).alias(f"{name}_{c}") for c in df.columns if c != "key"])
+
     for r in range(rounds + 1):
-        now = buckets.join(comps, "node", "left").select(
-            "key", "node", F.coalesce("component", "node").alias("comp"))
+        now = buckets.join(comps, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
         if r:
-            open_keys = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-            now = now.join(open_keys, "key")
+            split = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+            now = now.join(split, "key")
+        met = quick() & (F.col("a_comp") != F.col("b_comp"))
         if r < rounds:
             order = F.col("node") if r == 0 else F.xxhash64("node", F.lit(r))
-            pivots = now.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("node").alias("p"), F.col("comp").alias("pc"))).alias("s")).select("key", "s.p", "s.pc")
-            pairs = now.join(pivots, "key").where("comp <> pc").select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b"))
+            pivots = now.groupBy("key").agg(F.min_by(F.struct(*now.drop("key").columns), F.struct(order, "node")).alias("p")).select("key", "p.*")
+            pairs = side(now, "a").join(side(pivots, "b"), "key").where(met)
         else:
             if payload is not None:
                 now = now.join(payload, "node")
             now = stored(now, "open")
-            sides = [now.select("key", *[F.col(c).alias(f"{s}_{c}") for c in now.columns if c != "key"]) for s in "ab"]
-            met = (F.col("a_comp") != F.col("b_comp")) & (F.col("a_node") < F.col("b_node"))
-            cand = sides[0].join(sides[1], "key").where(met & near(F) if near else met)
-            pairs = cand.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
-        found = stored(verify(pairs.distinct()).select("a", "b"), "links")
+            cond = met & near() if near else met
+            pairs = side(now, "a").join(side(now, "b"), "key").where(cond & (F.col("a_node") < F.col("b_node")))
+        pairs = pairs.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()
+        found = stored(verify(pairs).select("a", "b"), "links")
         if r == rounds and found.isEmpty():
             break
         edges = edges.union(found)
