@@ -38,7 +38,7 @@ from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
 from mercato.llm.common import stored
 
-LONGEST, CHUNK, SEGMENT = 16, 64, 16_384
+LONGEST, CHUNK, SEGMENT = 16, 64, 32_768
 NONE = -(1 << 50)
 MARK, LITERAL = 0x2581, 0x110001  # the space mark; a mark that was already in the text
 SCALE, BYTE_SCORE = 1_000_000, -25_000_000
