@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from mercato.llm.common import Memo, fold
+from mercato.llm.common import Memo, fold, stored
 
 SPLIT = re.compile(r"[.!?\n]+")
 WORD = re.compile(r"[^\W\d_]+")
@@ -104,8 +104,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 8000, candidates: in
             yield pd.DataFrame({"word": ["", *words], "clean": [int((pdf["__y"] != 1).sum()), *(seen[0][w] for w in words)],
                                 "toxic": [int((pdf["__y"] == 1).sum()), *(seen[1][w] for w in words)]})
 
-    df = known.mapInPandas(count, "word string, clean long, toxic long").groupBy("word").agg(
-        F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    df = stored(known.mapInPandas(count, "word string, clean long, toxic long").groupBy("word").agg(
+        F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), "frequencies")
     both = df.where("word = ''").collect()
     if not both or not both[0].clean or not both[0].toxic:
         return Model({}, -50.0)
