@@ -27,6 +27,7 @@ encoded each; an empty table gives an empty table; other columns pass through.
 from __future__ import annotations
 
 import re
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -43,6 +44,7 @@ NONE = -(1 << 50)
 MARK, LITERAL = 0x2581, 0x110001  # the space mark; a mark that was already in the text
 SCALE, BYTE_SCORE = 1_000_000, -25_000_000
 CELL = re.compile(" +[^ ]*")
+OPENS = re.compile("[^ ] ")
 
 
 class Lexicon:
@@ -76,6 +78,29 @@ class Lexicon:
         self.id = np.array([found[int(h)] for h in self.hash])
         self.score = np.array([score.get(i, NONE) for i in range(sp.get_piece_size())])
 
+        self.places()
+
+    def places(self) -> None:
+        # two tables of places by different bits of the hash: what the first one loses is in the second
+        every = np.arange(len(self.hash))
+        self.first = np.zeros(1 << 20, np.int64)
+        self.first[self.slot(self.hash, 44)] = every
+        lost = every[self.first[self.slot(self.hash, 44)] != every]
+        self.shift = next(x for x in range(44) if len(np.unique(self.slot(self.hash[lost], x))) == len(lost))
+        self.second = np.zeros(1 << 20, np.int64)
+        self.second[self.slot(self.hash[lost], self.shift)] = lost
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("first", "second", "shift")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.places()
+
+    @staticmethod
+    def slot(h: np.ndarray, shift: int) -> np.ndarray:
+        return ((h >> np.uint64(shift)) & np.uint64((1 << 20) - 1)).astype(np.int64)
+
     @staticmethod
     def roll(h: np.ndarray, c: np.ndarray) -> np.ndarray:
         x = (h + c + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
@@ -94,7 +119,9 @@ class Lexicon:
         h = np.zeros(len(m), np.uint64)
         for k in range(LONGEST):
             h = self.roll(h, codes[m, p + k].astype(np.uint64))
-            at = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
+            at = self.first[self.slot(h, 44)]
+            miss = np.flatnonzero(self.hash[at] != h)
+            at[miss] = self.second[self.slot(h[miss], self.shift)]
             ok = self.hash[at] == h
             m, p, h, at = m[ok], p[ok], h[ok], at[ok]
             got = self.id[at]
@@ -103,14 +130,11 @@ class Lexicon:
             ids[m[whole], p[whole], k] = got[whole]
         return s, ids
 
-    def emit(self, ids: list[int], codes: list[int]) -> bytes:
-        out = []
-        for i, c in zip(ids, codes):
-            if i >= 0:
-                out.append(i)
-            else:
-                out += self.byte_ids[list(chr(MARK if c == LITERAL else c).encode())].tolist()
-        return np.array(out, "<u4").tobytes()
+    def emit(self, ids: list[int]) -> bytes:
+        """Packed ids; -1 - code stands for the bytes of a character."""
+        if ids and min(ids) < 0:
+            ids = [x for i in ids for x in ([i] if i >= 0 else self.byte_ids[list(chr(MARK if -1 - i == LITERAL else -1 - i).encode())].tolist())]
+        return array("I", ids).tobytes()
 
 
 def codes_of(text: str) -> np.ndarray:
@@ -156,26 +180,28 @@ def states(t: np.ndarray, a: int, b: int) -> np.ndarray:
     return np.array(out)
 
 
-def trace(s: np.ndarray, ids: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[list[tuple[int, int]]]:
-    """(position, id) of the best pieces of every chunk from state a to state b."""
+def trace(s: np.ndarray, ids: np.ndarray, codes: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[list[int]]:
+    """Ids of the best pieces of every chunk from state a to state b; -1 - code for a character that is no piece."""
     rows, width, _ = s.shape
     r = np.arange(rows)
     f, back = np.full((width + LONGEST, rows), NONE), np.zeros((width + LONGEST, rows), np.int64)
     f[a, r] = 0
+    live = (s > NONE).any(0)
     for p in range(width):
-        for k in range(LONGEST):
+        for k in np.flatnonzero(live[p]):
             x = f[p] + s[:, p, k]
             better = x > f[p + k + 1]
-            f[p + k + 1] = np.where(better, x, f[p + k + 1])
-            back[p + k + 1] = np.where(better, k + 1, back[p + k + 1])
-    out: list[list[tuple[int, int]]] = [[] for _ in range(rows)]
+            np.copyto(f[p + k + 1], x, where=better)
+            back[p + k + 1][better] = k + 1
+    ids = np.where(ids >= 0, ids, -1 - codes[:, :width, None])
+    out: list[list[int]] = [[] for _ in range(rows)]
     at = n + b
     act = r[at > a]
     while len(act):
         k = back[at[act], act]
         at[act] -= k
-        for m, p, i in zip(act.tolist(), at[act].tolist(), ids[act, at[act], k - 1].tolist()):
-            out[m].append((p, i))
+        for m, i in zip(act.tolist(), ids[act, at[act], k - 1].tolist()):
+            out[m].append(i)
         act = act[at[act] > a[act]]
     return [x[::-1] for x in out]
 
@@ -188,22 +214,52 @@ def chunked(codes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     return rows, np.minimum(CHUNK, n - np.arange(count) * CHUNK)
 
 
-def segment_matrix(lex: Lexicon, codes: np.ndarray, n: int) -> np.ndarray:
+def chunks_matrix(lex: Lexicon, codes: np.ndarray, n: int) -> np.ndarray:
+    """The matrix of the first n characters, from those of chunks."""
     rows, sizes = chunked(codes, n)
     s, _ = lex.pieces(rows, sizes)
     return product(transfer(s, sizes))
 
 
-def segment_ids(lex: Lexicon, codes: np.ndarray, n: int, a: int, b: int) -> bytes:
-    """Ids of the pieces that begin in the segment."""
+def chunks_ids(lex: Lexicon, codes: np.ndarray, n: int, a: int, b: int) -> bytes:
+    """Ids of the pieces that begin in the first n characters, chunk by chunk."""
     rows, sizes = chunked(codes, n)
     s, ids = lex.pieces(rows, sizes)
-    if len(rows) == 1:
-        at = np.array([a, b])
-    else:
-        at = states(transfer(s, sizes), a, b)
-    got = trace(s, ids, sizes, at[:-1], at[1:])
-    return b"".join(lex.emit([i for _, i in x], [rows[m, p] for p, _ in x]) for m, x in enumerate(got))
+    at = states(transfer(s, sizes), a, b) if len(rows) > 1 else np.array([a, b])
+    return b"".join(map(lex.emit, trace(s, ids, rows, sizes, at[:-1], at[1:])))
+
+
+def closed(part: str, n: int) -> tuple[int, int] | None:
+    """The first and the last place among the first n characters that no piece crosses."""
+    m = OPENS.search(part, 0, n)
+    if not m:
+        return None
+    last = n
+    while True:
+        last = part.rfind(" ", 0, last)
+        if part[last - 1] != " ":
+            return m.start() + 1, last
+
+
+def segment_matrix(lex: Lexicon, part: str, n: int) -> np.ndarray:
+    """The matrix of a segment.  Where no piece can cross a place, the matrix has
+    rank one: what lies between the first and the last such place adds the same
+    to every path, so it is left out."""
+    codes, ends = codes_of(part), closed(part, n)
+    if not ends:
+        return chunks_matrix(lex, codes, n)
+    head, tail = chunks_matrix(lex, codes, ends[0]), chunks_matrix(lex, codes[ends[1]:], n - ends[1])
+    return np.maximum(head[:, :1] + tail[:1, :], NONE)
+
+
+def segment_ids(enc: Encoder, part: str, n: int, a: int, b: int) -> bytes:
+    """Ids of the pieces that begin in the segment."""
+    codes, ends = codes_of(part), closed(part, n)
+    if not ends:
+        return chunks_ids(enc.lex, codes, n, a, b)
+    inner = enc.cells([CELL.findall(part[ends[0]:ends[1]])])[0]
+    return (chunks_ids(enc.lex, codes, ends[0], a, 0) + inner
+            + chunks_ids(enc.lex, codes[ends[1]:], n - ends[1], 0, b))
 
 
 class Encoder:
@@ -213,7 +269,9 @@ class Encoder:
         self.lex, self.known, self.bound = lex, {}, bound
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        cells = [CELL.findall(" " + t) if t else [] for t in texts]
+        return self.cells([CELL.findall(" " + t) if t else [] for t in texts])
+
+    def cells(self, cells: list[list[str]]) -> list[bytes]:
         new = list({c for x in cells for c in x if c not in self.known})
         if len(self.known) + len(new) > self.bound:
             self.known.clear()
@@ -227,7 +285,7 @@ class Encoder:
                 hi += 1
             if hi == lo:  # a long part: its own scan over chunks
                 c = codes_of(new[lo])
-                self.known[new[lo]] = segment_ids(self.lex, c, len(c), 0, 0)
+                self.known[new[lo]] = chunks_ids(self.lex, c, len(c), 0, 0)
                 lo += 1
                 continue
             n = np.array([len(x) for x in new[lo:hi]])
@@ -235,10 +293,8 @@ class Encoder:
             rows[np.arange(rows.shape[1])[None, :] < n[:, None]] = codes_of("".join(new[lo:hi]))
             s, ids = self.lex.pieces(rows, n)
             zero = np.zeros(hi - lo, np.int64)
-            for m, x in enumerate(trace(s, ids, n, zero, zero)):
-                plain = [i for _, i in x]
-                self.known[new[lo + m]] = (np.array(plain, "<u4").tobytes() if min(plain) >= 0
-                                           else self.lex.emit(plain, [rows[m, p] for p, _ in x]))
+            for x, got in zip(new[lo:hi], trace(s, ids, rows, n, zero, zero)):
+                self.known[x] = self.lex.emit(got)
             lo = hi
         known = self.known
         return [b"".join([known[c] for c in x]) for x in cells]
@@ -246,11 +302,11 @@ class Encoder:
 
 def encode(docs: DataFrame, path: str | None = None, segment: int = SEGMENT) -> DataFrame:
     """All columns of ``docs`` and ``ids``: little-endian unsigned 32-bit ids as binary."""
-    path = path or public_tokenizers.path("piece_bpe_32k.model")
+    lex = Lexicon(path or public_tokenizers.path("piece_bpe_32k.model"))  # read once, about 2 MB
     schema = StructType([*docs.schema.fields, StructField("ids", BinaryType())])
 
     def short(batches):
-        enc = Encoder(Lexicon(path))
+        enc = Encoder(lex)
         for b in batches:
             texts = [t or "" for t in b.column("text").to_pylist()]
             ids = [x for i in range(0, len(texts), 512) for x in enc(texts[i:i + 512])]
@@ -266,11 +322,9 @@ def encode(docs: DataFrame, path: str | None = None, segment: int = SEGMENT) ->
     segs = stored(segs.repartition("k", "seg"), "segments")
 
     def matrices(batches):
-        lex = Lexicon(path)
         for pdf in batches:
-            codes = [codes_of(x) for x in pdf["part"]]
             yield pd.DataFrame({"k": pdf["k"], "seg": pdf["seg"], "m": [
-                segment_matrix(lex, c, min(len(c), segment)).tobytes() for c in codes]})
+                segment_matrix(lex, x, min(len(x), segment)).tobytes() for x in pdf["part"]]})
 
     def boundaries(pdf: pd.DataFrame) -> pd.DataFrame:  # matrices of one document, no text
         pdf = pdf.sort_values("seg")
@@ -278,11 +332,10 @@ def encode(docs: DataFrame, path: str | None = None, segment: int = SEGMENT) ->
         return pd.DataFrame({"k": pdf["k"], "seg": pdf["seg"], "a": at[:-1], "b": at[1:]})
 
     def traced(batches):
-        lex = Lexicon(path)
+        enc = Encoder(lex)
         for pdf in batches:
             yield pd.DataFrame({"k": pdf["k"], "seg": pdf["seg"], "ids": [
-                segment_ids(lex, c, min(len(c), segment), a, b)
-                for c, a, b in zip(map(codes_of, pdf["part"]), pdf["a"], pdf["b"])]})
+                segment_ids(enc, x, min(len(x), segment), a, b) for x, a, b in zip(pdf["part"], pdf["a"], pdf["b"])]})
 
     def joined(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"k": pdf["k"].iloc[:1], "ids": [b"".join(pdf.sort_values("seg")["ids"])]})
@@ -297,13 +350,12 @@ def encode(docs: DataFrame, path: str | None = None, segment: int = SEGMENT) ->
 
 def decode(ids: DataFrame, path: str | None = None, out: str = "decoded") -> DataFrame:
     """All columns of ``ids`` and the text that its column ids stands for."""
-    path = path or public_tokenizers.path("piece_bpe_32k.model")
+    pieces_of = Lexicon(path or public_tokenizers.path("piece_bpe_32k.model")).bytes
     schema = StructType([*ids.schema.fields, StructField(out, StringType())])
 
     def run(batches):
-        of = Lexicon(path).bytes.__getitem__
         for b in batches:
-            texts = [b"".join(map(of, np.frombuffer(x, "<u4").tolist()))[1:] for x in b.column("ids").to_pylist()]
+            texts = [b"".join(map(pieces_of.__getitem__, np.frombuffer(x, "<u4").tolist()))[1:] for x in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.binary()).cast(pa.string())], [*b.schema.names, out])
 
     return ids.mapInArrow(run, schema)
