@@ -5,7 +5,6 @@ Layout:
     functions/  column-level rules shared by every analytic (day counts, bins, nulls, ties)
     operators/  cleaning, the fact build and the named analytics (DataFrame -> DataFrame)
     plans/      the query catalogue: one callable per named query over a data directory
-    streaming/  (the studied system has no streaming; see README)
 """
 
 __version__ = "0.1.0"

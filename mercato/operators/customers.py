@@ -34,7 +34,7 @@ def payment_analysis(fact: DataFrame) -> DataFrame:
     rows = keyed(delivered(fact), "payment_type")
     return rows.groupBy("payment_type").agg(
         money(nz_sum("payment_value")).alias("total_revenue"),
-        F.count_distinct("order_id").alias("order_volume"))
+        F.count_distinct("order_id").alias("order_volume")).orderBy(F.desc("total_revenue"), "payment_type")
 
 
 def orders_by_review_score(fact: DataFrame) -> DataFrame:

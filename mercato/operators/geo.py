@@ -27,7 +27,8 @@ def sales_by_state(fact: DataFrame, start=None, end=None) -> DataFrame:
         money(F.sum("rev")).alias("total_revenue"),
         F.count(F.lit(1)).alias("total_orders"),
         F.count_distinct("customer_id").alias("unique_customers"),
-    ).withColumn("avg_order_value", F.col("total_revenue") / F.col("total_orders"))
+    ).withColumn("avg_order_value", F.col("total_revenue") / F.col("total_orders")).orderBy(
+        F.desc("total_revenue"), "customer_state")
 
 
 def top_states(fact: DataFrame, k: int = 15, start=None, end=None) -> DataFrame:
@@ -49,7 +50,8 @@ def customer_distribution(fact: DataFrame, start=None, end=None) -> DataFrame:
     return s.select(
         "customer_state", "unique_customers", "total_orders", "total_revenue",
         (F.col("total_orders") / F.col("unique_customers")).alias("orders_per_customer"),
-        (F.col("total_revenue") / F.col("unique_customers")).alias("revenue_per_customer"))
+        (F.col("total_revenue") / F.col("unique_customers")).alias("revenue_per_customer")).orderBy(
+        F.desc("unique_customers"), "customer_state")
 
 
 def top_customer_states(fact: DataFrame, k: int = 15, start=None, end=None) -> DataFrame:
@@ -71,7 +73,7 @@ def seller_performance(fact: DataFrame, start=None, end=None) -> DataFrame:
     ).withColumns({
         "avg_orders_per_seller": F.col("total_orders") / F.col("unique_sellers"),
         "avg_revenue_per_seller": F.col("total_revenue") / F.col("unique_sellers"),
-    })
+    }).orderBy(F.desc("total_revenue"), "seller_state")
 
 
 def top_seller_states(fact: DataFrame, k: int = 15, start=None, end=None) -> DataFrame:
@@ -129,14 +131,17 @@ def state_vs_national(fact: DataFrame, state: str | None = None, k: int = 10,
                       start=None, end=None) -> DataFrame:
     """For each state's top-k categories: share of the state's revenue,
     share of national revenue, and the difference (percent).  Denominators
-    cover non-null categories only.  One (state, category) aggregate feeds
-    the rank, the state totals (a window over the same state partitioning)
-    and the national shares (one row per category)."""
-    sc = _state_category(fact, start, end)
+    cover non-null categories only; the national one also covers rows without
+    a state.  One (state, category) aggregate feeds the rank and the state totals
+    (a window over the same state partitioning); orders are not needed here, so
+    rows are reduced to states x categories before the shuffle."""
+    sc = keyed(analysis_rows(fact, start, end), "customer_state", "category").groupBy(
+        "customer_state", "category").agg(nz_sum("payment_value").alias("revenue_dec"))
     state_tot = Window.partitionBy("customer_state")
     ranked = _ranked(sc).withColumn(
         "state_pct", F.col("revenue_dec").cast("double") / F.sum("revenue_dec").over(state_tot).cast("double") * 100)
-    nat = sc.groupBy("category").agg(F.sum("revenue_dec").alias("nat_rev"))
+    national = keyed(analysis_rows(fact, start, end), "category")  # rows without a state count nationally
+    nat = national.groupBy("category").agg(nz_sum("payment_value").alias("nat_rev"))
     nat = nat.withColumn("national_pct", F.col("nat_rev").cast("double")
                          / F.sum("nat_rev").over(Window.partitionBy()).cast("double") * 100)
     top = ranked.where(F.col("revenue_rank") <= k)

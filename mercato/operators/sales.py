@@ -52,11 +52,11 @@ def seasonal_segmentation(fact: DataFrame, quarter: str | None = None) -> DataFr
            .agg(F.count("order_item_id").alias("sales_volume")))
     if quarter is not None:
         out = out.where(F.col("purchase_quarter") == quarter)
-    return out
+    return out.orderBy("purchase_quarter", F.desc("sales_volume"), "category")
 
 
 def last_quarter_view(fact: DataFrame) -> DataFrame:
     """FC4 default view: the slice of the greatest quarter label present."""
     seg = seasonal_segmentation(fact)
     last = seg.agg(F.max("purchase_quarter").alias("purchase_quarter"))
-    return seg.join(F.broadcast(last), "purchase_quarter", "left_semi")
+    return seg.join(F.broadcast(last), "purchase_quarter", "left_semi").orderBy(F.desc("sales_volume"), "category")

@@ -98,9 +98,13 @@ _fact_query("recent_orders", churn.recent_orders)
 _fact_query("pct_late_by_customer", churn.pct_late_by_customer)
 
 
+# The payment types of the bound tables, and the filler for none.
+PAYMENT_TYPES = ["a", "n", "r", "unknown"]
+
+
 @query("churn_matrix")
 def _churn_matrix(spark, sf_dir):
-    return churn.churn_matrix(churn.churn_features(Context(spark, sf_dir).fact))
+    return churn.churn_matrix(churn.churn_features(Context(spark, sf_dir).fact), PAYMENT_TYPES)
 
 
 # Profiles, cleaning steps and lookups
@@ -249,7 +253,7 @@ def _churn_customer_count(spark, sf_dir):
 
 # Models and forecasts (rows-only checks: the fits have no SQL form)
 def _split(spark, sf_dir):
-    return churn_model.stratified_split(churn.churn_matrix(churn.churn_features(Context(spark, sf_dir).fact)))
+    return churn_model.stratified_split(_churn_matrix(spark, sf_dir))
 
 
 @query("churn_split_counts")

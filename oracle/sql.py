@@ -147,7 +147,7 @@ FROM ranked WHERE revenue_rank <= 10"""
 
 _Q["state_vs_national"] = ", " + _STATE_CAT + """,
 state_tot AS (SELECT customer_state, sum(rev) AS tot FROM state_cat GROUP BY 1),
-nat AS (SELECT category, sum(rev) AS nrev FROM state_cat GROUP BY 1),
+nat AS (SELECT category, coalesce(sum(payment_value), 0) AS nrev FROM delivered WHERE category IS NOT NULL GROUP BY 1),
 nat_tot AS (SELECT sum(nrev) AS ntot FROM nat)
 SELECT r.customer_state, r.revenue_rank, r.category,
        CAST(r.rev AS DOUBLE) / CAST(t.tot AS DOUBLE) * 100 AS state_pct,
@@ -447,11 +447,15 @@ _Q["customer_card"] = ", " + _CHURN + """
 SELECT customer_unique_id, num_orders, recency, total_spent, churn FROM features
 WHERE customer_unique_id = (SELECT min(customer_unique_id) FROM features)"""
 _Q["churn_customer_count"] = ", " + _CHURN + " SELECT count(*) AS total_customers FROM features"
-_Q["churn_matrix"] = ", " + _CHURN + """,
-onehot AS (
-  SELECT * EXCLUDE (first_ts, preferred_payment), 'pay_' || preferred_payment AS pay_key, CAST(1 AS BIGINT) AS one
-  FROM features)
-SELECT * FROM (PIVOT onehot ON pay_key USING coalesce(max(one), 0))"""
+_Q["churn_matrix"] = ", " + _CHURN + """
+SELECT * EXCLUDE (first_ts, preferred_payment),
+       CAST(preferred_payment = 'a' AS BIGINT) AS pay_a, CAST(preferred_payment = 'n' AS BIGINT) AS pay_n,
+       CAST(preferred_payment = 'r' AS BIGINT) AS pay_r, CAST(preferred_payment = 'unknown' AS BIGINT) AS pay_unknown
+FROM features"""
+_Q["churn_split_counts"] = ", " + _CHURN + """,
+sizes AS (SELECT churn, count(*) AS n, CAST(round(count(*) * 0.2) AS BIGINT) AS test FROM features GROUP BY churn)
+SELECT churn, 'test' AS split, test AS customers FROM sizes WHERE test > 0
+UNION ALL SELECT churn, 'train', n - test FROM sizes WHERE n > test"""
 
 # --- forecast KPIs on a given frame ------------------------------------------
 _Q["forecast_metrics_given"] = """

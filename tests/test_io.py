@@ -87,3 +87,56 @@ def test_analytics_agree_on_materialized_and_lazy_fact(spark, tmpdir_path):
         a, b = op(lazy), op(stored)
         assert a.exceptAll(b.select(*a.columns)).count() == 0
         assert b.select(*a.columns).exceptAll(a).count() == 0
+
+
+def test_csv_by_header_name_with_text_ids_and_no_silent_nulls(spark, tmpdir_path):
+    import pytest
+
+    path = os.path.join(tmpdir_path, "products.csv")
+    with open(path, "w") as f:  # another column order, extra columns, a text id
+        f.write("product_name_lenght,product_weight_g,product_id,product_photos_qty,product_category_name\n"
+                "40,225,1e9e8ef04dbcff4541ed26657ea517e5,1,perfumaria\n44,1000,3aa071139cb16b67ca9e5dea641aaa2f,,\n")
+    rows = {r.product_id: r for r in read_csv_table(spark, path, "products").collect()}
+    assert rows["1e9e8ef04dbcff4541ed26657ea517e5"].product_weight_g == 225.0
+    assert rows["3aa071139cb16b67ca9e5dea641aaa2f"].product_weight_g == 1000.0
+    assert rows["3aa071139cb16b67ca9e5dea641aaa2f"].product_category_name is None
+    with open(path, "a") as f:
+        f.write("1,heavy,x,1,toys\n")
+    with pytest.raises(Exception, match="products.product_weight_g: not a double: heavy"):
+        read_csv_table(spark, path, "products").collect()
+    with open(path, "w") as f:
+        f.write("product_id,product_weight_g\n1,2\n")
+    with pytest.raises(ValueError, match="product_category_name"):
+        read_csv_table(spark, path, "products")
+
+
+def test_cluster_without_a_shared_folder_raises(monkeypatch):
+    import types
+
+    import pytest
+
+    from mercato.session import checkpoint_root
+
+    sc = types.SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
+    fake = types.SimpleNamespace(sparkContext=sc, conf=types.SimpleNamespace(get=lambda key, default=None: default))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        checkpoint_root(fake)
+
+
+def test_national_share_counts_rows_without_a_state(spark):
+    import datetime
+
+    from mercato.operators.geo import state_vs_national
+
+    day = datetime.datetime(2020, 1, 1)
+    rows = [("SP", "a", 1, 100.0), ("SP", "b", 2, 100.0), (None, "a", 3, 200.0)]
+    fact = spark.createDataFrame(
+        [(s, c, o, v, day, day.date(), "delivered", 2020 * 100 + 1) for s, c, o, v in rows],
+        "customer_state string, category string, order_id long, payment_value double, order_purchase_timestamp timestamp_ntz, "
+        "purchase_date date, order_status string, purchase_month int").withColumn("payment_value", F.col("payment_value").cast("decimal(18,2)"))
+    for c in Context(spark, SMALL).fact.columns:
+        if c not in fact.columns:
+            fact = fact.withColumn(c, F.lit(None))
+    fact = fact.withColumn("order_delivered_customer_date", F.col("order_purchase_timestamp"))
+    got = {r.category: r.national_pct for r in state_vs_national(fact).collect()}
+    assert got == {"a": 75.0, "b": 25.0}
