@@ -94,7 +94,7 @@ def shared_buckets(buckets: DataFrame) -> DataFrame:
 
 
 def linked_groups(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], quick: Callable[[], Column],
-                  near: Callable[[], Column] | None = None, payload: DataFrame | None = None, rounds: int = 2) -> DataFrame:
+                  near: Callable[[], Column] | None = None, payload: Callable[[DataFrame], DataFrame] | None = None, rounds: int = 2) -> DataFrame:
     """Components of the links that ``verify`` confirms among nodes sharing a bucket.
 
     ``buckets``: stored, distinct (key, node, ...).  ``verify`` takes pairs (a, b) and
@@ -102,8 +102,8 @@ def linked_groups(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame],
     columns, named a_* and b_*.  A bucket of m near copies is not expanded to all
     pairs: first its members meet one pivot each round (m pairs), and then only
     pairs of nodes still in different components are listed, which keeps every
-    link that can still join two components.  ``near`` on the columns of
-    ``payload`` (node, ...) rules out more pairs of that last list.
+    link that can still join two components.  ``payload`` describes the nodes of that
+    last list (one row for each), and ``near`` on its columns rules out more pairs.
     """
     spark = buckets.sparkSession
     edges = spark.createDataFrame([], "a long, b long")
@@ -123,9 +123,9 @@ def linked_groups(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame],
             pivots = now.groupBy("key").agg(F.min_by(F.struct(*now.drop("key").columns), F.struct(order, "node")).alias("p")).select("key", "p.*")
             pairs = side(now, "a").join(side(pivots, "b"), "key").where(met)
         else:
-            if payload is not None:
-                now = now.join(payload, "node")
             now = stored(now, "open")
+            if payload is not None:
+                now = stored(now.join(payload(now.select("node").distinct()), "node"), "payload")
             cond = met & near() if near else met
             pairs = side(now, "a").join(side(now, "b"), "key").where(cond & (F.col("a_node") < F.col("b_node")))
         pairs = pairs.select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b")).distinct()

@@ -10,7 +10,9 @@ pair at the threshold of 0.85 misses all bands with probability under 1e-5.
 
 Documents with equal sets form a class, whose smallest doc_id stands for it, so
 copies never meet in a bucket.  Candidates are confirmed on full sets, which are
-made again for the documents that share a bucket.
+made again for the documents that share a bucket.  Shingles that no other open member
+has can't be shared, which bounds a pair's similarity from above; pairs whose bound
+misses the threshold are not listed.
 
 Defined results: null text or text without words has the empty set and links
 with nothing; fewer than 5 words make one shingle of the whole sequence; rows that
@@ -140,8 +142,23 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         same = F.aggregate(F.zip_with("a_sketch", "b_sketch", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
         return same >= LEAST_AGREE
 
-    payload = classes.groupBy("node").agg(F.max_by("sketch", "n").alias("sketch"))
-    comps = linked_groups(buckets, verify, sizes, agree, payload)
+    def payload(members: DataFrame) -> DataFrame:
+        """node, sketch, size and shared of ``members``: how many of a node's shingles other members have too.
+        A node with several sets gets nulls, and no pair of it is ruled out."""
+        mine = sets.join(members, "node").withColumn("h", F.xxhash64("set"))
+        single = mine.groupBy("node").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.max(F.size("set")).alias("size")).where(
+            "lo = hi").select("node", "size").join(classes.groupBy("node").agg(F.first("sketch").alias("sketch")), "node")
+        alone = mine.select("node", F.explode("set").alias("e")).groupBy("e").agg(
+            F.min("node").alias("node"), F.max("node").alias("last")).where("node = last").groupBy("node").agg(F.count("*").alias("alone"))
+        return members.join(single, "node", "left").join(alone, "node", "left").select(
+            "node", "sketch", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("shared"))
+
+    def near() -> Column:
+        # both can share at most the lesser ``shared``; all else is in the union
+        most = F.least("a_shared", "b_shared")
+        return F.coalesce(agree() & (100 * most >= percent * (F.col("a_size") + F.col("b_size") - most)), F.lit(True))
+
+    comps = linked_groups(buckets, verify, sizes, near, payload)
     groups = classes.join(comps, "node", "left").select("set", F.coalesce("component", "node").alias("component"))
     return rows.join(groups, "set", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"),

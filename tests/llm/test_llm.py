@@ -270,6 +270,14 @@ def test_minhash_against_brute_force(spark, docs):
     assert op9_minhash.near_duplicates(docs([])).count() == 0
 
 
+def test_minhash_links_each_text_of_a_repeated_id(spark, docs):
+    """Document 1 has two texts; either links another document, and neither hides the other."""
+    a, b = prose(900, 80).split(), prose(901, 140).split()
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join([*a[:-1], "other"])), (3, " ".join([*b[:-1], "other"])), (4, prose(902, 90))]
+    out = {(r.doc_id, r.component_id) for r in op9_minhash.near_duplicates(docs(rows)).collect()}
+    assert out == {(1, 1), (2, 1), (3, 1), (4, 4)}
+
+
 def test_sketch_fills_every_bin_and_estimates():
     r = np.random.default_rng(0)
     x = r.integers(0, 2**63, 2000).astype(np.uint64)
