@@ -143,20 +143,22 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         return same >= LEAST_AGREE
 
     def payload(members: DataFrame) -> DataFrame:
-        """node, sketch, size and shared of ``members``: how many of a node's shingles other members have too.
+        """node, sketch, keys, size and shared of ``members``: how many of a node's shingles other members have too.
         A node with several sets gets nulls, and no pair of it is ruled out."""
         mine = sets.join(members, "node").withColumn("h", F.xxhash64("set"))
         single = mine.groupBy("node").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.max(F.size("set")).alias("size")).where(
-            "lo = hi").select("node", "size").join(classes.groupBy("node").agg(F.first("sketch").alias("sketch")), "node")
+            "lo = hi").select("node", "size").join(classes.groupBy("node").agg(F.first("sketch").alias("sketch"), F.first("keys").alias("keys")), "node")
         alone = mine.select("node", F.explode("set").alias("e")).groupBy("e").agg(
             F.min("node").alias("node"), F.max("node").alias("last")).where("node = last").groupBy("node").agg(F.count("*").alias("alone"))
         return members.join(single, "node", "left").join(alone, "node", "left").select(
-            "node", "sketch", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("shared"))
+            "node", "sketch", "keys", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("shared"))
 
     def near() -> Column:
         # both can share at most the lesser ``shared``; all else is in the union
         most = F.least("a_shared", "b_shared")
-        return F.coalesce(agree() & (100 * most >= percent * (F.col("a_size") + F.col("b_size") - most)), F.lit(True))
+        possible = 100 * most >= percent * (F.col("a_size") + F.col("b_size") - most)
+        first = F.get(F.array_intersect("a_keys", "b_keys"), F.lit(0)) == F.col("key")  # a pair is listed in one of its buckets
+        return F.coalesce(agree() & possible & first, F.lit(True))
 
     comps = linked_groups(buckets, verify, sizes, near, payload)
     groups = classes.join(comps, "node", "left").select("set", F.coalesce("component", "node").alias("component"))
