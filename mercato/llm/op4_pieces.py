@@ -27,7 +27,6 @@ encoded each; an empty table gives an empty table; other columns pass through.
 from __future__ import annotations
 
 import re
-from array import array
 
 import numpy as np
 import pandas as pd
@@ -130,11 +129,19 @@ class Lexicon:
             ids[m[whole], p[whole], k] = got[whole]
         return s, ids
 
-    def emit(self, ids: list[int]) -> bytes:
-        """Packed ids; -1 - code stands for the bytes of a character."""
-        if ids and min(ids) < 0:
-            ids = [x for i in ids for x in ([i] if i >= 0 else self.byte_ids[list(chr(MARK if -1 - i == LITERAL else -1 - i).encode())].tolist())]
-        return array("I", ids).tobytes()
+    def emit(self, ids: np.ndarray, count: np.ndarray) -> list[bytes]:
+        """Packed ids of rows of count[m] ids each; -1 - code stands for the bytes of a character."""
+        ends, other = np.concatenate([[0], np.cumsum(count)]), ids < 0
+        if other.any():
+            code = -1 - ids[other]
+            utf = [chr(c).encode() for c in np.where(code == LITERAL, MARK, code).tolist()]
+            size = np.ones(len(ids), np.int64)
+            size[other] = [len(x) for x in utf]
+            ids = np.repeat(ids, size)
+            ids[np.repeat(other, size)] = self.byte_ids[np.frombuffer(b"".join(utf), np.uint8)]
+            ends = np.concatenate([[0], np.cumsum(size)])[ends]
+        packed, ends = ids.astype("<u4").tobytes(), (4 * ends).tolist()
+        return [packed[lo:hi] for lo, hi in zip(ends, ends[1:])]
 
 
 def codes_of(text: str) -> np.ndarray:
@@ -180,11 +187,12 @@ def states(t: np.ndarray, a: int, b: int) -> np.ndarray:
     return np.array(out)
 
 
-def trace(s: np.ndarray, ids: np.ndarray, codes: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[list[int]]:
-    """Ids of the best pieces of every chunk from state a to state b; -1 - code for a character that is no piece."""
+def trace(s: np.ndarray, ids: np.ndarray, codes: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the best pieces of every chunk from state a to state b, in one array (-1 - code for a
+    character that is no piece), and how many each chunk has."""
     rows, width, _ = s.shape
     r = np.arange(rows)
-    f, back = np.full((width + LONGEST, rows), NONE), np.zeros((width + LONGEST, rows), np.int64)
+    f, back = np.full((width + LONGEST, rows), NONE), np.zeros((width + LONGEST, rows), np.int8)
     f[a, r] = 0
     live = (s > NONE).any(0)
     for p in range(width):
@@ -192,18 +200,19 @@ def trace(s: np.ndarray, ids: np.ndarray, codes: np.ndarray, n: np.ndarray, a: n
             x = f[p] + s[:, p, k]
             better = x > f[p + k + 1]
             np.copyto(f[p + k + 1], x, where=better)
-            back[p + k + 1][better] = k + 1
-    ids = np.where(ids >= 0, ids, -1 - codes[:, :width, None])
-    out: list[list[int]] = [[] for _ in range(rows)]
+            np.copyto(back[p + k + 1], k + 1, where=better)
+    found, of = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     at = n + b
     act = r[at > a]
     while len(act):
         k = back[at[act], act]
         at[act] -= k
-        for m, i in zip(act.tolist(), ids[act, at[act], k - 1].tolist()):
-            out[m].append(i)
+        got = ids[act, at[act], k - 1]
+        found.append(np.where(got >= 0, got, -1 - codes[act, at[act]]))
+        of.append(act)
         act = act[at[act] > a[act]]
-    return [x[::-1] for x in out]
+    row = np.concatenate(of[::-1])  # the last step is a row's first piece
+    return np.concatenate(found[::-1])[np.argsort(row, kind="stable")], np.bincount(row, minlength=rows)
 
 
 def chunked(codes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -226,7 +235,7 @@ def chunks_ids(lex: Lexicon, codes: np.ndarray, n: int, a: int, b: int) -> bytes
     rows, sizes = chunked(codes, n)
     s, ids = lex.pieces(rows, sizes)
     at = states(transfer(s, sizes), a, b) if len(rows) > 1 else np.array([a, b])
-    return b"".join(map(lex.emit, trace(s, ids, rows, sizes, at[:-1], at[1:])))
+    return b"".join(lex.emit(*trace(s, ids, rows, sizes, at[:-1], at[1:])))
 
 
 def closed(part: str, n: int) -> tuple[int, int] | None:
@@ -272,16 +281,16 @@ class Encoder:
         return self.cells([CELL.findall(" " + t) if t else [] for t in texts])
 
     def cells(self, cells: list[list[str]]) -> list[bytes]:
-        new = list({c for x in cells for c in x if c not in self.known})
+        new = list(set().union(*cells).difference(self.known))
         if len(self.known) + len(new) > self.bound:
             self.known.clear()
-            new = list({c for x in cells for c in x})
+            new = list(set().union(*cells))
         new.sort(key=len)
         lo = 0
         while lo < len(new):
             width = len(new[lo]) + 3
             hi = lo
-            while hi < len(new) and hi - lo < 8192 and len(new[hi]) <= min(width, CHUNK):
+            while hi < len(new) and hi - lo < 2048 and len(new[hi]) <= min(width, CHUNK):
                 hi += 1
             if hi == lo:  # a long part: its own scan over chunks
                 c = codes_of(new[lo])
@@ -293,11 +302,9 @@ class Encoder:
             rows[np.arange(rows.shape[1])[None, :] < n[:, None]] = codes_of("".join(new[lo:hi]))
             s, ids = self.lex.pieces(rows, n)
             zero = np.zeros(hi - lo, np.int64)
-            for x, got in zip(new[lo:hi], trace(s, ids, rows, n, zero, zero)):
-                self.known[x] = self.lex.emit(got)
+            self.known.update(zip(new[lo:hi], self.lex.emit(*trace(s, ids, rows, n, zero, zero))))
             lo = hi
-        known = self.known
-        return [b"".join([known[c] for c in x]) for x in cells]
+        return [b"".join(map(self.known.__getitem__, x)) for x in cells]
 
 
 def encode(docs: DataFrame, path: str | None = None, segment: int = SEGMENT) -> DataFrame:
