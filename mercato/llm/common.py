@@ -6,6 +6,8 @@ import uuid
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +22,17 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def in_blocks(batches, column: str = "text", size: int = 4_000_000):
+    """Record batches cut into slices of about ``size`` bytes of ``column``, at least one row each."""
+    for b in batches:
+        n = pc.fill_null(pc.binary_length(b.column(column).cast(pa.binary())), 0)
+        block = np.cumsum(n.to_numpy(zero_copy_only=False).astype(np.int64)) // size
+        cut = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), b.num_rows]
+        for lo, hi in zip(cut, cut[1:]):
+            if lo < hi:
+                yield b.slice(lo, hi - lo)
+
+
 def fold(doc_id: Column, m: int) -> Column:
     """crc32 of the id as text, modulo ``m``; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % m

@@ -36,9 +36,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
-from mercato.llm.common import stored
+from mercato.llm.common import in_blocks, stored
 
 LONGEST, CHUNK, SEGMENT = 16, 64, 32_768
+BLOCK = 2_000_000  # bytes of texts or ids that a task works on at a time
 NONE = -(1 << 50)
 MARK, LITERAL = 0x2581, 0x110001  # the space mark; a mark that was already in the text
 SCALE, BYTE_SCORE = 1_000_000, -25_000_000
@@ -314,7 +315,7 @@ def encode(docs: DataFrame, path: str | None = None, segment: int = SEGMENT) ->
 
     def short(batches):
         enc = Encoder(lex)
-        for b in batches:
+        for b in in_blocks(batches, "text", BLOCK):
             texts = [t or "" for t in b.column("text").to_pylist()]
             ids = [x for i in range(0, len(texts), 512) for x in enc(texts[i:i + 512])]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.binary())], [*b.schema.names, "ids"])
@@ -361,7 +362,7 @@ def decode(ids: DataFrame, path: str | None = None, out: str = "decoded") -> Dat
     schema = StructType([*ids.schema.fields, StructField(out, StringType())])
 
     def run(batches):
-        for b in batches:
+        for b in in_blocks(batches, "ids", BLOCK):
             texts = [b"".join(map(pieces_of.__getitem__, np.frombuffer(x, "<u4").tolist()))[1:] for x in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.binary()).cast(pa.string())], [*b.schema.names, out])
 
