@@ -39,6 +39,16 @@ def test_line_links_need_no_near_simhash(spark, docs):
             b = edited(r, a, max(1, n // 5))
             i = len(rows)
             rows += [(i, " ".join(a)), (i + 1, " ".join(b))]
-            want |= {i: 0, i + 1: int(len(b) >= 5 and distance(a, b) <= max(len(a), len(b)) // 5)}
+            want |= {i: 0, i + 1: int(distance(a, b) <= max(len(a), len(b)) // 5)}
     assert sum(want.values()) > 90
     assert removed(docs(rows)) == want
+
+
+def test_equal_lines_of_any_length_go(spark, docs):
+    """Short lines, marks, tab-separated fields and scripts without spaces; one word more than four is near."""
+    han = "天地玄黄宇宙洪荒日月盈昃辰宿列张"
+    lines = ["Short line.", "x", "---", "a\tb\tc\td\te\tf", "https://host/" + "p/" * 50, han, "one two three four"]
+    text = "\n".join(lines)
+    near = "\n".join(["a\tb\tc\td\te\tother", han[:5] + "新" + han[6:], "one two new three four", "***", "short lines"])
+    got = {r.doc_id: (r.text, r["__removed"]) for r in op10_lines.dedup_lines(docs([(1, text), (2, text + "\n\n \t"), (3, near)])).collect()}
+    assert got == {1: (text, 0), 2: ("\n \t", 7), 3: ("***\nshort lines", 3)}
