@@ -5,8 +5,9 @@ places the set into BINS bins in rounds: in round i < BINS every element goes to
 hashed bin with the value i + fraction, in round i >= BINS all go to bin i - BINS,
 and a bin keeps its minimum.  So every bin is filled after at most 2 BINS rounds,
 usually after one, and equal coordinates estimate Jaccard similarity with
-Chernoff-type concentration.  BANDS bands of ROWS coordinates give candidates; a
-pair at the threshold of 0.85 misses all bands with probability under 1e-5.
+Chernoff-type concentration.  Bands of coordinates give candidates; their number and
+rows follow from the threshold, so that a pair at it misses all bands with probability
+under 1e-5 (16 bands of 4 at 0.85, 21 of 3 at 0.8).
 
 Documents with equal sets form a class, whose smallest doc_id stands for it, so
 copies never meet in a bucket.  Candidates are confirmed on full sets, which are
@@ -23,6 +24,7 @@ links with nothing; an empty table gives an empty table; other columns are ignor
 from __future__ import annotations
 
 from itertools import chain
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +34,24 @@ from pyspark.sql import functions as F
 
 from mercato.llm.common import Memo, linked_groups, mix64, shared_buckets, stored
 
-SHINGLE, BINS, BANDS, ROWS = 5, 64, 16, 4
-#: Pairs whose sketches agree in fewer coordinates are not verified; a pair at 0.85 does so with probability under 1e-6.
-LEAST_AGREE = 37
+SHINGLE, BINS = 5, 64
+
+
+def banding(percent: int) -> tuple[int, int]:
+    """(bands, rows): the most rows for which a pair at the threshold misses all bands with probability under 1e-5."""
+    miss = {rows: (1 - (percent / 100) ** rows) ** (BINS // rows) for rows in range(1, BINS + 1)}
+    rows = max((r for r, p in miss.items() if p < 1e-5), default=1)
+    return BINS // rows, rows
+
+
+def least_agree(percent: int) -> int:
+    """Pairs whose sketches agree in fewer coordinates are not verified; a pair at the threshold does so with probability under 1e-7."""
+    j, below = percent / 100, 0.0
+    for n in range(BINS + 1):
+        below += comb(BINS, n) * j ** n * (1 - j) ** (BINS - n)
+        if below >= 1e-7:
+            return n
+    return BINS
 
 
 def shingles(texts: list[bytes | None], of: Memo) -> list[np.ndarray]:
@@ -93,6 +110,8 @@ def blocks(batches, size: int = 4_000_000):
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    n_bands, n_rows = banding(percent)
+    least = least_agree(percent)
 
     def describe(batches):
         of = Memo(xxhash.xxh64_intdigest)
@@ -100,9 +119,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
             sets = shingles(texts, of)
             some = [s for s in sets if len(s)]
             k = sketch(some)
-            bands = k.reshape(len(some), BANDS, ROWS)
-            keys = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (len(some), BANDS))
-            for j in range(ROWS):
+            bands = k[:, :n_bands * n_rows].reshape(len(some), n_bands, n_rows)
+            keys = np.broadcast_to(np.arange(1, n_bands + 1, dtype=np.uint64), (len(some), n_bands))
+            for j in range(n_rows):
                 keys = mix64((keys * np.uint64(0x100000001B3)) ^ bands[:, :, j])
             keys, low = iter(keys.view(np.int64)), iter(((k ^ (k >> np.uint64(40))) & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32))
             yield pa.RecordBatch.from_arrays([
@@ -140,7 +159,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
     def agree() -> Column:
         same = F.aggregate(F.zip_with("a_sketch", "b_sketch", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-        return same >= LEAST_AGREE
+        return same >= least
 
     def payload(members: DataFrame) -> DataFrame:
         """node, sketch, keys, size and shared of ``members``: how many of a node's shingles other members have too.

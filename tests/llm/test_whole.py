@@ -2,7 +2,8 @@
 
 import random
 
-from mercato.llm import op10_lines
+import corpus_pipeline
+from mercato.llm import op9_minhash, op10_lines
 
 VOCAB = [a + b + c for a in "ba de fi go hu ka le mi no pu".split() for b in "ra se ti vo zu".split() for c in "lan mer nis dor".split()]
 
@@ -52,3 +53,30 @@ def test_equal_lines_of_any_length_go(spark, docs):
     near = "\n".join(["a\tb\tc\td\te\tother", han[:5] + "新" + han[6:], "one two new three four", "***", "short lines"])
     got = {r.doc_id: (r.text, r["__removed"]) for r in op10_lines.dedup_lines(docs([(1, text), (2, text + "\n\n \t"), (3, near)])).collect()}
     assert got == {1: (text, 0), 2: ("\n \t", 7), 3: ("***\nshort lines", 3)}
+
+
+def test_stage_near_duplicates_at_080(spark, docs):
+    """The pipeline's stage against brute force; pairs of 0.80 to 0.85 count."""
+    r, rows = random.Random(11), []
+    for g in range(40):
+        w = [r.choice(VOCAB) for _ in range(100 + 3 * g)]
+        # a changed end makes each similarity from about 0.9 down to about 0.7
+        for k in (0, *r.sample(range(4, 40), 3)):
+            rows.append((len(rows), " ".join([*w[:len(w) - k], *(f"n{g}x{k}x{i}" for i in range(k))])))
+    sets = {i: {tuple(t.split()[k:k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    link = [(a, b) for a in sets for b in sets if a < b and a // 4 == b // 4
+            and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    assert any(100 * len(sets[a] & sets[b]) < 85 * len(sets[a] | sets[b]) for a, b in link)
+    root = {i: i for i in sets}
+    for _ in range(4):
+        for a, b in link:
+            root[a] = root[b] = min(root[a], root[b])
+    got = {x.doc_id for x in corpus_pipeline.near_duplicates(spark, docs(rows), "").collect()}
+    assert got == {i for i in sets if root[i] == i}
+
+
+def test_banding_follows_the_threshold():
+    assert op9_minhash.banding(85) == (16, 4) and op9_minhash.least_agree(85) == 37
+    for percent in (50, 70, 80, 85, 95):
+        bands, rows = op9_minhash.banding(percent)
+        assert bands * rows <= op9_minhash.BINS and (1 - (percent / 100) ** rows) ** bands < 1e-5
