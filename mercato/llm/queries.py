@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mercato.llm import (op1_hnsw, op2_winnow, op3_lm, op4_pieces, op5_pack, op6_toxicity, op7_chat, op8_langid,
-                         op9_minhash, op10_lines)
+                         op9_minhash, op10_lines, op11_align, op12_rules, op13_runs)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,9 +56,22 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.length("text").cast("long").alias("kept_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_align.alignment(_table(spark, sf_dir, "documents"))
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_rules.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_runs.periodic_runs(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_embedding_near_dedup, op2_fingerprints, op3_lm_score, op4_sentencepiece, op5_packing, op6_toxicity_scores,
-    op7_chat_format, op8_language_id, op9_minhash_dedup, op10_line_dedup)}
+    op7_chat_format, op8_language_id, op9_minhash_dedup, op10_line_dedup, op11_token_alignment,
+    op12_quality_rules, op13_periodic_runs)}
 
 # every pair of equal, non-null labels by double cosine; components by recursion
 _OP1 = """
