@@ -6,52 +6,44 @@ The URI scheme of a path picks the store (``file:``, ``hdfs:``, ``s3a:``,
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mercato.sources.schema import SCHEMAS
+from mercato.sources.ingest import Ingest, ingest_csv, strict_csv
 from mercato.sources.tables import SourceTables
 
-TABLE_NAMES = ("customers", "orders", "order_items", "payments", "reviews", "products", "sellers")
-# tie-breakers of the bound test tables that source files lack
-DERIVED = ("source_row", "review_no")
+TABLE_NAMES = ("customers", "orders", "order_items", "payments", "reviews", "products", "sellers", "geolocation")
 
 
 def read_csv_table(spark: SparkSession, path: str, table: str) -> DataFrame:
     """SRC1: a CSV file's columns found by their header names, in any order and
     beside others.  Ids stay text (CLN7); other values are cast to the declared
-    types, and a value that doesn't fit stops the job with its text instead of
-    becoming NULL.  The two tie-breakers that no file has are derived from the
-    row's own columns."""
-    raw = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    missing = [f.name for f in SCHEMAS[table] if f.name not in raw.columns and f.name not in DERIVED]
-    if missing:
-        raise ValueError(f"{path}: no column {', '.join(missing)}")
-
-    def value(field):
-        if field.name in DERIVED and field.name not in raw.columns:
-            # equal rows get equal numbers: they are duplicates anyway
-            return F.hash(*sorted(raw.columns)).cast(field.dataType)
-        text = F.col(f"`{field.name}`")
-        if field.name.endswith("_id") and field.name != "order_item_id":
-            return text
-        got = text.try_cast(field.dataType)
-        wrong = F.concat(F.lit(f"{table}.{field.name}: not a {field.dataType.simpleString()}: "), text)
-        return F.when(text.isNotNull() & got.isNull(), F.raise_error(wrong).cast(field.dataType)).otherwise(got)
-
-    return raw.select(*[value(f).alias(f.name) for f in SCHEMAS[table]])
+    types, and a record or value that doesn't fit stops the job with its text
+    instead of becoming NULL (``ingest_csv`` sets such records apart instead).
+    Tie-breakers that no file has are hashes of the row's own columns."""
+    return strict_csv(spark, path, table)
 
 
 def read_csv_tables(spark: SparkSession, paths: dict[str, str]) -> SourceTables:
     """SRC1 for all source tables: ``paths`` maps table name -> CSV path."""
-    tables = {t: read_csv_table(spark, paths[t], t) for t in TABLE_NAMES}
+    tables = {t: read_csv_table(spark, paths[t], t) for t in TABLE_NAMES if t in paths or t != "geolocation"}
     tr = paths.get("category_translation")
     return SourceTables(**tables, category_translation=read_csv_table(spark, tr, "category_translation")
                         if tr else None)
 
 
+def ingest_csv_tables(spark: SparkSession, paths: dict[str, str]) -> tuple[SourceTables, DataFrame]:
+    """SRC1 with rejects: all source tables without the records that don't fit, and those records
+    (table, file, line, column, text, reason)."""
+    got: dict[str, Ingest] = {t: ingest_csv(spark, p, t) for t, p in paths.items()}
+    rejects = reduce(DataFrame.union, [x.rejects.select(F.lit(t).alias("table"), "*") for t, x in got.items()])
+    return SourceTables(**{t: x.rows for t, x in got.items()}), rejects
+
+
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     """SRC2."""
     return spark.read.parquet(path)
@@ -88,13 +80,21 @@ def path_complete(spark: SparkSession, path: str) -> bool:
 
 
 def materialize(spark: SparkSession, path: str, builder: Callable[[], DataFrame],
-                writer: Callable[[DataFrame, str], None] = write_parquet, overwrite: bool = False) -> DataFrame:
+                writer: Callable[[DataFrame, str], None] = write_parquet, overwrite: bool = False,
+                sources: Sequence[str] | None = None, key: str = "") -> DataFrame:
     """SNK5: read the stored result, or build, store and read it back.
 
+    With ``sources`` (files or folders) the result is rebuilt when one of them has changed
+    (``sources.stored``); without, a complete result is reused whatever its sources became.
     A half-written directory has no _SUCCESS marker and is rebuilt.  Reading
     back (rather than returning the built plan) cuts the lineage, so later
     jobs start from files on the shared store and survive lost executors.
     """
+    if sources is not None:
+        from mercato.sources.stored import file_state, keyed
+        # a new key rebuilds
+        return keyed(spark, path, builder, lambda: file_state(spark, sources),
+                     key + f";{uuid.uuid4().hex}" * overwrite, writer)
     if overwrite or not path_complete(spark, path):
         writer(builder(), path)
     return spark.read.parquet(path)

@@ -38,8 +38,18 @@ SCHEMAS = {
                   ("review_creation_date", TimestampNTZType()),
                   ("review_answer_timestamp", TimestampNTZType())),
     "products": _s(("product_id", LongType()), ("product_category_name", StringType()),
-                   ("product_weight_g", DoubleType())),
+                   ("product_name_lenght", DoubleType()), ("product_description_lenght", DoubleType()),
+                   ("product_photos_qty", DoubleType()), ("product_weight_g", DoubleType()),
+                   ("product_length_cm", DoubleType()), ("product_height_cm", DoubleType()),
+                   ("product_width_cm", DoubleType())),
     "sellers": _s(("seller_id", LongType()), ("seller_zip_code_prefix", StringType()),
                   ("seller_state", StringType())),
+    "geolocation": _s(("geolocation_zip_code_prefix", StringType()), ("geolocation_lat", DoubleType()),
+                      ("geolocation_lng", DoubleType()), ("geolocation_city", StringType()),
+                      ("geolocation_state", StringType())),
     "category_translation": _s(("product_category_name", StringType()), ("label", StringType())),
 }
+
+# Columns no analytic needs: a file may lack them, and they are NULL then.
+OPTIONAL = {"product_name_lenght", "product_description_lenght", "product_photos_qty", "product_length_cm",
+            "product_height_cm", "product_width_cm"}

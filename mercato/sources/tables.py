@@ -1,4 +1,4 @@
-"""The eight logical source tables of the order data model."""
+"""The logical source tables of the order data model."""
 
 from __future__ import annotations
 
@@ -16,6 +16,7 @@ class SourceTables:
     reviews: DataFrame
     products: DataFrame
     sellers: DataFrame
+    geolocation: DataFrame | None = None
     category_translation: DataFrame | None = None
 
     def items(self):
