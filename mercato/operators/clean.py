@@ -3,21 +3,26 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mercato.functions.rules import day_diff
+from mercato.operators.medians import group_medians
+from mercato.operators.skew import SALT, found_hot, hot_keys, spread
 from mercato.sources.tables import SourceTables
 
 DATE_COLS = ("order_purchase_timestamp", "order_approved_at", "order_delivered_carrier_date",
              "order_delivered_customer_date", "order_estimated_delivery_date")
-PRODUCT_NUMERIC = ("product_weight_g",)
+PRODUCT_NUMERIC = ("product_name_lenght", "product_description_lenght", "product_photos_qty", "product_weight_g",
+                   "product_length_cm", "product_height_cm", "product_width_cm")
+ZIP_COLS = {"customers": "customer_zip_code_prefix", "geolocation": "geolocation_zip_code_prefix",
+            "sellers": "seller_zip_code_prefix"}
 
 
 def dedupe(df: DataFrame) -> DataFrame:
-    """CLN1: drop fully duplicate rows.
+    """CLN1: drop fully duplicate rows of a table whose next step shuffles by another key.
 
     The rows are hash-partitioned on all columns, so no single key value can
     concentrate the work in one task.  (Deduplicating a dimension under an
@@ -27,6 +32,12 @@ def dedupe(df: DataFrame) -> DataFrame:
     return df.dropDuplicates()
 
 
+def dedupe_by(df: DataFrame, key: str, hot: DataFrame | None = None) -> DataFrame:
+    """CLN1 on the way to a join or aggregate by ``key``: one shuffle by the key (hot keys
+    dealt to salts, ``operators.skew``), duplicates dropped inside the partitions."""
+    return spread(df, key, hot).dropDuplicates()
+
+
 def parse_timestamps(df: DataFrame, cols: Sequence[str], fmt: str | None = None) -> DataFrame:
     """CLN2: strict parse; under ANSI a malformed value fails the job."""
     return df.withColumns({c: (F.to_timestamp_ntz(c, F.lit(fmt)) if fmt else F.to_timestamp_ntz(c))
@@ -47,12 +58,6 @@ def fill_text(df: DataFrame, values: dict) -> DataFrame:
     return df.fillna(values)
 
 
-def group_medians(df: DataFrame, group: str, cols: Sequence[str]) -> DataFrame:
-    """One row per group with the median of each column (one partially
-    aggregated ``groupBy`` for all columns)."""
-    return df.groupBy(group).agg(*[F.median(c).alias(f"__med_{c}") for c in cols])
-
-
 def impute_group_median(df: DataFrame, group: str, cols: Sequence[str],
                         medians: DataFrame | None = None) -> DataFrame:
     """CLN6: fill NULLs with the median of the row's group; an all-NULL group
@@ -64,6 +69,12 @@ def impute_group_median(df: DataFrame, group: str, cols: Sequence[str],
                         for c in df.columns])
 
 
+def zip_to_text(df: DataFrame, col: str) -> DataFrame:
+    """CLN7: a zip prefix read as a number becomes text (no leading zeros come back:
+    ``sources.schema`` declares the column as text so that none is lost)."""
+    return df.withColumn(col, F.col(col).cast("string"))
+
+
 def label_categories(df: DataFrame, translation: DataFrame | None, src: str = "product_category_name",
                      dst: str = "category") -> DataFrame:
     """CLN8: category label = translation, else ``initcap`` of the name with
@@ -100,20 +111,6 @@ def payments_per_order(payments: DataFrame) -> DataFrame:
     )
 
 
-@dataclass
-class CleanTables:
-    customers: DataFrame
-    orders: DataFrame          # delivered, with day counts
-    order_items: DataFrame
-    products: DataFrame        # filled, imputed, labelled
-    sellers: DataFrame
-    payments: DataFrame        # deduplicated rows
-    payments_agg: DataFrame    # one row per order
-    reviews: DataFrame         # text filled
-    category_translation: DataFrame
-    item_keys: DataFrame | None = None  # order_id of the raw item rows (hot-key detection)
-
-
 def clean_products(products: DataFrame, translation: DataFrame | None = None,
                    translation_builder=None) -> tuple[DataFrame, DataFrame]:
     filled = fill_text(dedupe(products), {"product_category_name": "unknown"})
@@ -126,19 +123,70 @@ def clean_products(products: DataFrame, translation: DataFrame | None = None,
     return label_categories(imputed, translation), translation
 
 
+class CleanTables:
+    """The cleaned tables, each made when it is first asked for."""
+
+    def __init__(self, src: SourceTables, translation_builder=None):
+        self.src, self.translation_builder = src, translation_builder
+
+    @cached_property
+    def hot_orders(self) -> DataFrame | None:
+        """Orders with more items, payments or reviews than one task should get; None if there are none."""
+        keys = [getattr(self.src, t).select("order_id", F.lit(t).alias("t")) for t in ("order_items", "payments", "reviews")]
+        # counted per table: the key pairs an order with the table
+        pairs = reduce(DataFrame.union, keys).where("order_id is not null").select(F.struct("order_id", "t").alias("k"))
+        hot = hot_keys(pairs, "k").groupBy(F.col("k.order_id").alias("order_id")).agg(F.max("__salts").alias("__salts"))
+        return found_hot(hot)
+
+    @cached_property
+    def customers(self) -> DataFrame:
+        return dedupe(zip_to_text(self.src.customers, ZIP_COLS["customers"]))
+
+    @cached_property
+    def orders(self) -> DataFrame:
+        """Delivered, with day counts."""
+        return delivered_orders(dedupe(self.src.orders))
+
+    @cached_property
+    def order_items(self) -> DataFrame:
+        return dedupe(self.src.order_items)
+
+    @cached_property
+    def _products(self) -> tuple[DataFrame, DataFrame]:
+        return clean_products(self.src.products, self.src.category_translation, self.translation_builder)
+
+    @property
+    def products(self) -> DataFrame:
+        """Filled, imputed, labelled."""
+        return self._products[0]
+
+    @property
+    def category_translation(self) -> DataFrame:
+        return self._products[1]
+
+    @cached_property
+    def sellers(self) -> DataFrame:
+        return dedupe(zip_to_text(self.src.sellers, ZIP_COLS["sellers"]))
+
+    @cached_property
+    def geolocation(self) -> DataFrame:
+        return dedupe(zip_to_text(self.src.geolocation, ZIP_COLS["geolocation"]))
+
+    @cached_property
+    def payments(self) -> DataFrame:
+        return dedupe_by(self.src.payments, "order_id", self.hot_orders).drop(SALT)
+
+    @cached_property
+    def payments_agg(self) -> DataFrame:
+        """One row per order."""
+        return payments_per_order(self.payments)
+
+    @cached_property
+    def reviews(self) -> DataFrame:
+        """Text filled."""
+        return fill_text(dedupe_by(self.src.reviews, "order_id", self.hot_orders).drop(SALT),
+                         {"review_comment_title": "", "review_comment_message": ""})
+
+
 def clean(src: SourceTables, translation_builder=None) -> CleanTables:
-    products, translation = clean_products(src.products, src.category_translation, translation_builder)
-    payments = dedupe(src.payments)
-    reviews = fill_text(dedupe(src.reviews), {"review_comment_title": "", "review_comment_message": ""})
-    return CleanTables(
-        customers=dedupe(src.customers),
-        orders=delivered_orders(dedupe(src.orders)),
-        order_items=dedupe(src.order_items),
-        products=products,
-        sellers=dedupe(src.sellers),
-        payments=payments,
-        payments_agg=payments_per_order(payments),
-        reviews=reviews,
-        category_translation=translation,
-        item_keys=src.order_items.select("order_id"),
-    )
+    return CleanTables(src, translation_builder)

@@ -8,20 +8,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mercato.functions.rules import day_diff
-from mercato.operators.clean import CleanTables
-from mercato.operators.skew import salted_left_join
+from mercato.operators.clean import DATE_COLS, PRODUCT_NUMERIC, CleanTables, dedupe_by
+from mercato.operators.skew import SALT, join_spread
 
 # Column order of the fact as written (SNK1) and returned by ``build_fact``.
 FACT_COLUMNS = [
     "order_id", "order_item_id", "product_id", "seller_id", "shipping_limit_date", "price",
-    "freight_value", "customer_id", "order_status", "order_purchase_timestamp",
-    "order_delivered_customer_date", "order_estimated_delivery_date", "customer_unique_id",
-    "customer_zip_code_prefix", "customer_city", "customer_state", "product_category_name",
-    "category", "product_weight_g", "seller_zip_code_prefix", "seller_state", "payment_value",
-    "payment_installments", "payment_type", "review_no", "review_score", "review_comment_title",
-    "review_comment_message", "purchase_date", "purchase_year", "purchase_month",
-    "purchase_weekday", "delivery_time", "estimated_delivery_time", "delivery_delay",
-    "delay_vs_estimated", "item_total", "has_comment",
+    "freight_value", "customer_id", "order_status", "order_purchase_timestamp", "order_approved_at",
+    "order_delivered_carrier_date", "order_delivered_customer_date", "order_estimated_delivery_date",
+    "customer_unique_id", "customer_zip_code_prefix", "customer_city", "customer_state",
+    "product_category_name", "category", *PRODUCT_NUMERIC, "seller_zip_code_prefix", "seller_state",
+    "payment_value", "payment_installments", "payment_type", "review_no", "review_score",
+    "review_comment_title", "review_comment_message", "review_creation_date", "review_answer_timestamp",
+    "purchase_date", "purchase_year", "purchase_month", "purchase_weekday", "delivery_time",
+    "estimated_delivery_time", "delivery_delay", "delay_vs_estimated", "item_total", "has_comment",
 ]
 
 
@@ -30,25 +30,6 @@ def orders_with_items(orders: DataFrame, items: DataFrame) -> DataFrame:
     return orders.join(items.select("order_id"), "order_id", "left_semi")
 
 
-def order_level(cl: CleanTables) -> DataFrame:
-    """Everything keyed by order: delivered orders with their customer, the
-    per-order payment summary and the reviews (an order with two reviews
-    gives two rows).  Payments and reviews attach to items of *every* order,
-    delivered or not, so the three sides are full-outer-joined on order_id:
-    an item's left join to this table then yields exactly the rows of three
-    successive left joins.  All of it is order grain - far smaller than the
-    items - so these joins shuffle small tables only."""
-    orders = cl.orders.select(
-        "order_id", "customer_id", "order_status", "order_purchase_timestamp",
-        "order_delivered_customer_date", "order_estimated_delivery_date", "delivery_time",
-        "delay_vs_estimated")
-    reviews = cl.reviews.select("order_id", "review_no", "review_score", "review_comment_title",
-                                "review_comment_message")
-    return (orders.join(cl.customers, "customer_id", "left")
-                  .join(cl.payments_agg, "order_id", "full")
-                  .join(reviews, "order_id", "full"))
-
-
 def build_fact(cl: CleanTables) -> DataFrame:
     """Items left-joined to orders, customers, products, sellers, per-order
     payments and reviews.
@@ -57,19 +38,24 @@ def build_fact(cl: CleanTables) -> DataFrame:
     payment total repeats on every row (T10), as in the studied ETL.  Left
     joins whose keys come from the items commute, so the plan is reordered
     for scale: the product and seller dimensions meet the narrow item rows
-    (AQE broadcasts them when their measured size is small, else sort-merge),
-    the order-level side is assembled on its own, and the items take part in
-    one order_id join, which splits hot orders by salting (operators/skew.py).
+    (AQE broadcasts them when their measured size is small, else sort-merge).
+    Then the items are shuffled once by order_id; their duplicates are dropped inside
+    those partitions, and orders, payments and reviews, each shuffled once by order_id with
+    their own duplicates dropped and payments summed inside, meet them there.  Orders that hold more
+    rows than one task should get are dealt to salts (operators/skew.py).
     """
-    products = cl.products.select("product_id", "product_category_name", "category", "product_weight_g")
+    hot = cl.hot_orders
+    products = cl.products.select("product_id", "product_category_name", "category", *PRODUCT_NUMERIC)
     sellers = cl.sellers.select("seller_id", "seller_zip_code_prefix", "seller_state")
-
-    items = (cl.order_items
-             .join(products, "product_id", "left")
-             .join(sellers, "seller_id", "left"))
-    # The order-level side arrives partitioned by order_id, so AQE cannot
-    # split a hot order here: the join salts hot orders itself.
-    f = salted_left_join(items, order_level(cl), "order_id", detect_on=cl.item_keys)
+    orders = cl.orders.select("order_id", "customer_id", "order_status", *DATE_COLS, "delivery_time", "delay_vs_estimated")
+    reviews = cl.reviews.select("order_id", "review_no", "review_score", "review_comment_title", "review_comment_message",
+                                "review_creation_date", "review_answer_timestamp")
+
+    items = cl.src.order_items.join(products, "product_id", "left").join(sellers, "seller_id", "left")
+    f = dedupe_by(items, "order_id", hot)
+    for side in (orders.join(cl.customers, "customer_id", "left"), cl.payments_agg, reviews):
+        f = join_spread(f, side, "order_id", hot)
+    f = f.drop(SALT)
 
     ts = F.col("order_purchase_timestamp")
     f = f.withColumns({

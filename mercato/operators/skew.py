@@ -1,13 +1,15 @@
-"""Left join that splits hot keys (salting bounded to the hot keys only).
+"""Shuffles by a key that split hot keys (salting bounded to the hot keys only).
 
 AQE splits a skewed sort-merge join only when both inputs are fresh
-shuffles.  The fact's final join meets an order-level side that arrives
-already partitioned by order_id, so a hot order would stay in one task.
-Here a key is *hot* when it holds more than 1/max_hot of the big side's
-rows; by pigeonhole at most ``max_hot`` keys qualify, so the hot-key list
-has a proven size bound and is broadcast.  Rows of a hot key are spread over
-``salts`` sub-keys by a deterministic hash of the row; the small side's rows
-of that key are replicated once per sub-key.  All other keys join unchanged.
+shuffles.  The fact's tables arrive at their joins already partitioned by
+order_id (that is what saves the second shuffle), so hot orders are found
+beforehand: a key is *hot* when it holds more than ``rows_per_salt`` rows, the
+rows one task should get.  With the threshold never below total / ``max_hot``
+at most ``max_hot`` keys qualify, so their list has a proven size bound.  A hot key
+of n rows gets ceil(n / threshold) salts: its rows are dealt to them by a hash of the
+whole row (equal rows stay together, so duplicates can be dropped inside), and the
+other side's rows of that key are repeated once per salt.  Without hot keys
+nothing is salted and the plan holds no trace of it.
 """
 
 from __future__ import annotations
@@ -15,33 +17,49 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 32
+ROWS_PER_SALT = 2_000_000
 MAX_HOT = 10_000
+SALT = "__salt"
 
 
-def hot_keys(keys: DataFrame, key: str, max_hot: int = MAX_HOT) -> DataFrame:
-    """Keys holding more than 1/max_hot of the rows of ``keys`` (at most
-    ``max_hot`` of them).  A partial aggregate per key plus one scalar total."""
+def hot_keys(keys: DataFrame, key: str, rows_per_salt: int = ROWS_PER_SALT, max_hot: int = MAX_HOT) -> DataFrame:
+    """(key, __salts) of the keys that hold more rows of ``keys`` than one task should get:
+    a partial aggregate per key plus one scalar total."""
     counts = keys.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
-    total = counts.agg(F.sum("__n")).scalar()
-    return counts.where(F.col("__n") * F.lit(max_hot) > total).select(key, F.lit(True).alias("__hot"))
-
-
-def salted_left_join(big: DataFrame, small: DataFrame, key: str, detect_on: DataFrame | None = None,
-                     salts: int = SALTS, max_hot: int = MAX_HOT) -> DataFrame:
-    """``big`` left-joined to ``small`` on ``key``, with hot keys split.
-
-    ``detect_on`` (default: ``big``) is a cheap frame holding the big side's
-    key column, used only to find hot keys; counting a superset of rows (for
-    example before deduplication) can only mark extra keys hot, which is
-    harmless."""
-    hot = F.broadcast(hot_keys((detect_on if detect_on is not None else big).select(key), key, max_hot))
-    row_hash = F.xxhash64(*[F.col(c) for c in big.columns])
-    b = (big.join(hot, key, "left")
-            .withColumn("__salt", F.when(F.col("__hot"), F.pmod(row_hash, F.lit(salts))).otherwise(F.lit(0)))
-            .drop("__hot"))
-    s = (small.join(hot, key, "left")
-              .withColumn("__salt", F.explode(F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1)))
-                                              .otherwise(F.array(F.lit(0)))))
-              .drop("__hot"))
-    return b.join(s, [key, "__salt"], "left").drop("__salt")
+    per = F.greatest(F.lit(float(rows_per_salt)), counts.agg(F.sum("__n")).scalar() / F.lit(float(max_hot)))
+    return counts.where(F.col("__n") > per).select(key, F.ceil(F.col("__n") / per).cast("int").alias("__salts"))
+
+
+def found_hot(hot: DataFrame) -> DataFrame | None:
+    """The hot keys as a table of known size, or None if there are none (at most ``max_hot`` rows)."""
+    rows = hot.collect()
+    return hot.sparkSession.createDataFrame(rows, hot.schema) if rows else None
+
+
+def spread(df: DataFrame, key: str, hot: DataFrame | None) -> DataFrame:
+    """``df`` shuffled once by ``key``, a hot key's rows dealt to its salts (column ``__salt``, only if there are any)."""
+    if hot is None:
+        return df.repartition(key)
+    row = F.xxhash64(*[F.col(c) for c in df.columns])
+    salted = df.join(F.broadcast(hot), key, "left").withColumn(SALT, F.pmod(row, F.coalesce("__salts", F.lit(1))).cast("int"))
+    return salted.select(*df.columns, SALT).repartition(key, SALT)
+
+
+def repeated(df: DataFrame, key: str, hot: DataFrame | None) -> DataFrame:
+    """``df`` with the rows of a hot key repeated once per salt."""
+    if hot is None:
+        return df
+    each = F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1)
+    return df.join(F.broadcast(hot), key, "left").select(*df.columns, F.explode(each).alias(SALT))
+
+
+def join_spread(big: DataFrame, small: DataFrame, key: str, hot: DataFrame | None) -> DataFrame:
+    """``big``, which ``spread`` has shuffled, left-joined to ``small``."""
+    return big.join(repeated(small, key, hot), key if hot is None else [key, SALT], "left")
+
+
+def salted_left_join(big: DataFrame, small: DataFrame, key: str, rows_per_salt: int = ROWS_PER_SALT,
+                     max_hot: int = MAX_HOT) -> DataFrame:
+    """``big`` left-joined to ``small`` on ``key``, with hot keys split."""
+    hot = found_hot(hot_keys(big.select(key), key, rows_per_salt, max_hot))
+    return join_spread(spread(big, key, hot), small, key, hot).drop(SALT)

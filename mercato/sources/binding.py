@@ -51,7 +51,8 @@ def bind(spark: SparkSession, sf_dir: str) -> SourceTables:
          .when(F.col("o_orderstatus") == "O", "shipped").otherwise("canceled").alias("order_status"),
         odate.alias("order_purchase_timestamp"),
         (odate + hours(k % 24)).alias("order_approved_at"),
-        F.lit(None).cast("timestamp_ntz").alias("order_delivered_carrier_date"),
+        F.when(k % 31 == 0, F.lit(None).cast("timestamp_ntz")).otherwise(odate + hours(k % 72))
+         .alias("order_delivered_carrier_date"),
         F.when(k % 97 == 0, F.lit(None).cast("timestamp_ntz"))
          .otherwise(odate + hours(((k * 7) % 125) * 24 + k % 24)).alias("order_delivered_customer_date"),
         (odate + hours(F.when(k % 211 == 0, 150).otherwise(21) * 24)).alias("order_estimated_delivery_date"),
@@ -74,8 +75,12 @@ def bind(spark: SparkSession, sf_dir: str) -> SourceTables:
         pk.alias("product_id"),
         F.when(pk % 50 == 1, F.lit(None).cast("string"))
          .otherwise(F.lower(F.replace("p_brand", F.lit("#"), F.lit("_")))).alias("product_category_name"),
-        F.when(pk % 13 == 0, F.lit(None).cast("double"))
-         .otherwise(F.col("p_size").cast("double")).alias("product_weight_g"),
+        *[F.when(pk % nulls == 0, F.lit(None).cast("double")).otherwise(value.cast("double")).alias(name)
+          for name, nulls, value in (
+              ("product_name_lenght", 17, 20 + pk % 40), ("product_description_lenght", 19, (pk * 7) % 3000),
+              ("product_photos_qty", 23, 1 + pk % 6), ("product_weight_g", 13, F.col("p_size")),
+              ("product_length_cm", 11, F.col("p_size") + F.lit(0.5)), ("product_height_cm", 7, (pk * 3) % 97 / F.lit(4.0)),
+              ("product_width_cm", 5, (pk * 13) % 61 / F.lit(8.0)))],
     )
 
     sellers = t["supplier"].join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(
@@ -108,9 +113,28 @@ def bind(spark: SparkSession, sf_dir: str) -> SourceTables:
         )
     )
 
+    # zip prefixes as numbers, and repeated rows where c_custkey divides by 5
+    geolocation = (
+        t["customer"].join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+        .withColumn("b", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+        .select(
+            (F.lit(10000) + F.pmod(F.col("c_nationkey") * 37 + F.col("b") * F.pmod("c_custkey", F.lit(5)),
+                                   F.lit(90))).alias("geolocation_zip_code_prefix"),
+            (F.col("c_custkey") % 180 / F.lit(2.0) - 45).alias("geolocation_lat"),
+            (F.col("c_custkey") % 360 / F.lit(2.0) - 90).alias("geolocation_lng"),
+            F.concat_ws("_", "n_name", "c_mktsegment").alias("geolocation_city"),
+            F.when(F.col("c_custkey") % 29 != 0, F.col("n_name")).alias("geolocation_state"),
+        )
+    )
+
     return SourceTables(customers=customers, orders=orders, order_items=order_items,
                         payments=payments, reviews=reviews, products=products,
-                        sellers=sellers, category_translation=None)
+                        sellers=sellers, geolocation=geolocation, category_translation=None)
+
+
+def source_paths(sf_dir: str) -> list[str]:
+    """The files that ``bind`` reads."""
+    return [f"{sf_dir.rstrip('/')}/{n}.parquet" for n in DRIVER_TABLES if n != "region"]
 
 
 def derived_translation(products_clean: DataFrame) -> DataFrame:

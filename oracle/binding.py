@@ -25,7 +25,8 @@ src_orders AS (
               ELSE 'canceled' END AS order_status,
          o_orderdate AS order_purchase_timestamp,
          o_orderdate + to_hours(CAST(o_orderkey % 24 AS INTEGER)) AS order_approved_at,
-         CAST(NULL AS TIMESTAMP) AS order_delivered_carrier_date,
+         CASE WHEN o_orderkey % 31 = 0 THEN NULL ELSE o_orderdate + to_hours(CAST(o_orderkey % 72 AS INTEGER)) END
+             AS order_delivered_carrier_date,
          CASE WHEN o_orderkey % 97 = 0 THEN NULL
               ELSE o_orderdate + to_hours(CAST(((o_orderkey * 7) % 125) * 24 + o_orderkey % 24 AS INTEGER))
          END AS order_delivered_customer_date,
@@ -47,7 +48,13 @@ src_products AS (
   SELECT p_partkey AS product_id,
          CASE WHEN p_partkey % 50 = 1 THEN NULL
               ELSE lower(replace(p_brand, '#', '_')) END AS product_category_name,
-         CASE WHEN p_partkey % 13 = 0 THEN NULL ELSE CAST(p_size AS DOUBLE) END AS product_weight_g
+         CASE WHEN p_partkey % 17 = 0 THEN NULL ELSE CAST(20 + p_partkey % 40 AS DOUBLE) END AS product_name_lenght,
+         CASE WHEN p_partkey % 19 = 0 THEN NULL ELSE CAST((p_partkey * 7) % 3000 AS DOUBLE) END AS product_description_lenght,
+         CASE WHEN p_partkey % 23 = 0 THEN NULL ELSE CAST(1 + p_partkey % 6 AS DOUBLE) END AS product_photos_qty,
+         CASE WHEN p_partkey % 13 = 0 THEN NULL ELSE CAST(p_size AS DOUBLE) END AS product_weight_g,
+         CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE CAST(p_size + 0.5 AS DOUBLE) END AS product_length_cm,
+         CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE CAST(((p_partkey * 3) % 97) / 4.0 AS DOUBLE) END AS product_height_cm,
+         CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE CAST(((p_partkey * 13) % 61) / 8.0 AS DOUBLE) END AS product_width_cm
   FROM part
   WHERE p_partkey % 100 <> 0
 ),
@@ -78,6 +85,16 @@ src_reviews AS (
          o.o_orderdate + to_hours(24 * 27) AS review_answer_timestamp
   FROM orders o, (SELECT unnest([0, 1]) AS k) k
   WHERE o.o_orderkey % 7 <> 0 AND (k.k = 0 OR o.o_orderkey % 11 = 0)
+),
+src_geolocation AS (
+  SELECT 10000 + (c.c_nationkey * 37 + b.b * (c.c_custkey % 5)) % 90 AS geolocation_zip_code_prefix,
+         (c.c_custkey % 180) / 2.0 - 45 AS geolocation_lat,
+         (c.c_custkey % 360) / 2.0 - 90 AS geolocation_lng,
+         n.n_name || '_' || c.c_mktsegment AS geolocation_city,
+         CASE WHEN c.c_custkey % 29 <> 0 THEN n.n_name END AS geolocation_state
+  FROM customer c
+  JOIN nation n ON c.c_nationkey = n.n_nationkey,
+       (SELECT unnest([0, 1, 2]) AS b) b
 )"""
 
 # Cleaning and the fact (2.4 J1, 2.3 P8-P11).
@@ -96,16 +113,29 @@ cl_items AS (SELECT DISTINCT * FROM src_items),
 cl_products_filled AS (
   SELECT product_id,
          coalesce(product_category_name, 'unknown') AS product_category_name,
-         product_weight_g
+         product_name_lenght, product_description_lenght, product_photos_qty, product_weight_g, product_length_cm, product_height_cm, product_width_cm
   FROM (SELECT DISTINCT * FROM src_products)
 ),
 cat_median AS (
-  SELECT product_category_name, median(product_weight_g) AS med_weight
+  SELECT product_category_name,
+         median(product_name_lenght) AS med_product_name_lenght,
+         median(product_description_lenght) AS med_product_description_lenght,
+         median(product_photos_qty) AS med_product_photos_qty,
+         median(product_weight_g) AS med_product_weight_g,
+         median(product_length_cm) AS med_product_length_cm,
+         median(product_height_cm) AS med_product_height_cm,
+         median(product_width_cm) AS med_product_width_cm
   FROM cl_products_filled GROUP BY product_category_name
 ),
 cl_products AS (
   SELECT p.product_id, p.product_category_name,
-         coalesce(p.product_weight_g, m.med_weight) AS product_weight_g
+         coalesce(p.product_name_lenght, m.med_product_name_lenght) AS product_name_lenght,
+         coalesce(p.product_description_lenght, m.med_product_description_lenght) AS product_description_lenght,
+         coalesce(p.product_photos_qty, m.med_product_photos_qty) AS product_photos_qty,
+         coalesce(p.product_weight_g, m.med_product_weight_g) AS product_weight_g,
+         coalesce(p.product_length_cm, m.med_product_length_cm) AS product_length_cm,
+         coalesce(p.product_height_cm, m.med_product_height_cm) AS product_height_cm,
+         coalesce(p.product_width_cm, m.med_product_width_cm) AS product_width_cm
   FROM cl_products_filled p JOIN cat_median m USING (product_category_name)
 ),
 category_translation AS (
@@ -139,12 +169,15 @@ fact AS (
   SELECT i.order_id, i.order_item_id, i.product_id, i.seller_id, i.shipping_limit_date,
          i.price, i.freight_value,
          o.customer_id, o.order_status, o.order_purchase_timestamp,
+         o.order_approved_at, o.order_delivered_carrier_date,
          o.order_delivered_customer_date, o.order_estimated_delivery_date,
          c.customer_unique_id, c.customer_zip_code_prefix, c.customer_city, c.customer_state,
-         p.product_category_name, t.label AS category, p.product_weight_g,
+         p.product_category_name, t.label AS category,
+         p.product_name_lenght, p.product_description_lenght, p.product_photos_qty, p.product_weight_g, p.product_length_cm, p.product_height_cm, p.product_width_cm,
          s.seller_zip_code_prefix, s.seller_state,
          pa.payment_value, pa.payment_installments, pa.payment_type,
          r.review_no, r.review_score, r.review_comment_title, r.review_comment_message,
+         r.review_creation_date, r.review_answer_timestamp,
          CAST(o.order_purchase_timestamp AS DATE) AS purchase_date,
          CAST(year(o.order_purchase_timestamp) AS BIGINT) AS purchase_year,
          strftime(o.order_purchase_timestamp, '%Y-%m') AS purchase_month,

@@ -365,8 +365,11 @@ _SRC_COLUMNS = {
                  "payment_value"],
     "reviews": ["order_id", "review_no", "review_score", "review_comment_title", "review_comment_message",
                 "review_creation_date", "review_answer_timestamp"],
-    "products": ["product_id", "product_category_name", "product_weight_g"],
+    "products": ["product_id", "product_category_name", "product_name_lenght", "product_description_lenght",
+                 "product_photos_qty", "product_weight_g", "product_length_cm", "product_height_cm", "product_width_cm"],
     "sellers": ["seller_id", "seller_zip_code_prefix", "seller_state"],
+    "geolocation": ["geolocation_zip_code_prefix", "geolocation_lat", "geolocation_lng", "geolocation_city",
+                    "geolocation_state"],
 }
 _SRC_CTE = {"order_items": "src_items"}
 
@@ -374,6 +377,31 @@ _Q["table_profile"] = "\nUNION ALL\n".join(
     f"SELECT '{t}' AS table_name, count(*) AS row_count, CAST({len(cols)} AS BIGINT) AS column_count "
     f"FROM {_SRC_CTE.get(t, 'src_' + t)}" for t, cols in _SRC_COLUMNS.items())
 
+# Spark's names of the columns' types, where they differ from text
+_SRC_TYPES = {
+    "bigint": "customers.customer_id customers.customer_unique_id orders.order_id orders.customer_id order_items.order_id "
+              "order_items.product_id order_items.seller_id payments.order_id payments.source_row reviews.order_id "
+              "reviews.review_score products.product_id sellers.seller_id geolocation.geolocation_zip_code_prefix",
+    "int": "order_items.order_item_id payments.payment_sequential payments.payment_installments reviews.review_no",
+    "decimal(18,2)": "order_items.price order_items.freight_value payments.payment_value",
+    "double": "geolocation.geolocation_lat geolocation.geolocation_lng",
+}
+_TYPE_OF = {c: t for t, cs in _SRC_TYPES.items() for c in cs.split()}
+
+
+def _type(table: str, column: str) -> str:
+    if column.endswith(("_timestamp", "_date", "_at")):
+        return "timestamp_ntz"
+    if table == "products" and column not in ("product_id", "product_category_name"):
+        return "double"
+    return _TYPE_OF.get(f"{table}.{column}", "string")
+
+
+_Q["column_profile"] = "\nUNION ALL\n".join(
+    f"SELECT '{t}' AS table_name, CAST({i} AS BIGINT) AS position, '{c}' AS column_name, '{_type(t, c)}' AS data_type, "
+    f"count(*) AS row_count, count({c}) AS non_null FROM {_SRC_CTE.get(t, 'src_' + t)}"
+    for t, cols in _SRC_COLUMNS.items() for i, c in enumerate(cols, 1))
+
 _Q["null_profile"] = "\nUNION ALL\n".join(
     f"SELECT '{t}' AS table_name, '{c}' AS column_name, count(*) - count({c}) AS null_count "
     f"FROM {_SRC_CTE.get(t, 'src_' + t)}" for t, cols in _SRC_COLUMNS.items() for c in cols)
@@ -412,7 +440,10 @@ SELECT order_id, try_strptime(raw_ts, '%Y-%m-%d %H:%M:%S') AS parsed_ts FROM dat
 _Q["fill_text"] = """
 SELECT product_id, coalesce(product_category_name, 'unknown') AS product_category_name
 FROM (SELECT DISTINCT * FROM src_products)"""
-_Q["impute_group_median"] = "SELECT product_id, product_category_name, product_weight_g FROM cl_products"
+_Q["impute_group_median"] = "SELECT * FROM cl_products"
+_Q["geolocation_clean"] = """
+SELECT DISTINCT * REPLACE (CAST(geolocation_zip_code_prefix AS VARCHAR) AS geolocation_zip_code_prefix)
+FROM src_geolocation"""
 _Q["category_label"] = "SELECT product_category_name, label FROM category_translation"
 _Q["payments_per_order"] = """
 SELECT order_id, CAST(payment_value AS DOUBLE) AS payment_value,
