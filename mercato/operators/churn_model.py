@@ -4,23 +4,24 @@ The studied code trains a boosted-tree library on one machine and explains
 single rows with a tree explainer.  Here the same steps are Spark ML jobs over
 the whole customer table: a gradient-boosted tree classifier with class
 weights and a held-out validation set for early stopping, batch scoring of
-every customer at once, and exact linear attributions from a logistic model
-fitted beside it (the tree explainer has no distributed counterpart).
+every customer at once, and attributions of those trees for every customer.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mercato.operators.churn import CUST, FEATURE_COLUMNS
+from mercato.operators.attribution import Leaf, read_leaves, top_contributions
+from mercato.operators.churn import CUST
 from mercato.operators.sequence import sequence_within
 from mercato.session import checkpoint_root
 
@@ -66,6 +67,7 @@ class ChurnModel:
     pipeline: PipelineModel
     features: list[str]
     auc: float | None = None
+    path: str | None = None  # where it is saved
 
 
 def fit_churn_model(split: DataFrame, max_iter: int = 50, max_depth: int = 9, step_size: float = 0.1,
@@ -129,38 +131,31 @@ def score_customers(model: ChurnModel, matrix: DataFrame) -> DataFrame:
     ).withColumn("risk_level", risk_tier(F.col("churn_probability")))
 
 
-def churn_drivers(matrix: DataFrame, k: int = 10, train: DataFrame | None = None) -> DataFrame:
-    """CH9: the k features that push each customer's churn logit furthest
-    from the average customer's: contribution_j = coef_j * (x_j - mean_j) of
-    a logistic model (exact for a linear model with independent features:
-    the contributions sum to logit(x) - logit(mean)).  The per-customer rank
-    window holds one row per feature."""
-    feats = feature_columns(matrix)
-    train = train if train is not None else matrix
-    assembler = VectorAssembler(inputCols=feats, outputCol="features", handleInvalid="keep")
-    lr = LogisticRegression(labelCol="label", featuresCol="features", maxIter=100, regParam=0.01,
-                            standardization=True)
-    fitted = Pipeline(stages=[assembler, lr]).fit(train.withColumn("label", F.col("churn").cast("double")))
-    coef = fitted.stages[-1].coefficients.toArray().tolist()
-    means = train.agg(*[F.avg(c).alias(c) for c in feats]).first()  # one row of len(feats) numbers
-    contrib = F.array(*[F.struct(F.lit(c).alias("feature"),
-                                 ((F.col(c).cast("double") - F.lit(float(means[c] or 0.0))) * F.lit(float(w)))
-                                 .alias("contribution"))
-                        for c, w in zip(feats, coef)])
-    long = matrix.select(CUST, F.inline(contrib))
-    w = Window.partitionBy(CUST).orderBy(F.desc(F.abs("contribution")), "feature")
-    return (long.withColumn("driver_rank", F.row_number().over(w)).where(F.col("driver_rank") <= k)
-                .select(CUST, F.col("driver_rank").cast("bigint").alias("driver_rank"), "feature", "contribution"))
+def model_leaves(model: ChurnModel) -> list[Leaf]:
+    """The leaves of the scoring trees, read from the saved model (saved first if it isn't)."""
+    spark = SparkSession.getActiveSession()
+    if model.path is None:
+        save_model(model, f"{checkpoint_root(spark)}/churn-model-{uuid.uuid4().hex}")
+    stage = model.pipeline.stages[-1]
+    return read_leaves(spark, f"{model.path}/stages/1_{stage.uid}")
+
+
+def churn_drivers(model: ChurnModel, matrix: DataFrame, k: int = 10) -> DataFrame:
+    """CH9: the k features that move each customer's margin (half the log-odds) furthest
+    from the base: path-dependent attributions of the trees that score, for all
+    customers in one job (operators/attribution.py)."""
+    return top_contributions(matrix, CUST, model.features, model_leaves(model), k)
 
 
 def save_model(model: ChurnModel, path: str) -> None:
     """SNK6: Spark ML writer (replaces the studied pickle files)."""
     model.pipeline.write().overwrite().save(path)
+    model.path = path
 
 
 def load_model(path: str) -> ChurnModel:
     pm = PipelineModel.load(path)
-    return ChurnModel(pipeline=pm, features=list(pm.stages[0].getInputCols()))
+    return ChurnModel(pipeline=pm, features=list(pm.stages[0].getInputCols()), path=path)
 
 
 @dataclass
@@ -169,39 +164,57 @@ class ChurnAssets:
     features: DataFrame   # the churn matrix (one row per customer), read back from storage
     scores: DataFrame     # CH7 + CH8 for every customer
     drivers: DataFrame    # CH9, top drivers per customer
+    metrics: DataFrame    # CH6 and the sizes of the split
+
+
+def by_customer(df: DataFrame) -> DataFrame:
+    """Each file holds a contiguous, sorted id range, so a one-customer
+    lookup (customer_report) is answered from one file: Parquet min/max
+    statistics let the reader skip the rest."""
+    return df.repartitionByRange(CUST).sortWithinPartitions(CUST)
+
+
+ASSET_TABLES = ("features", "scores", "drivers", "metrics")
+
+
+def make_assets(matrix: DataFrame, root: str) -> None:
+    """Split, fit, score and explain; everything is written below ``root`` (a shared folder)."""
+    from mercato.sources.io import write_parquet
+    write_parquet(by_customer(matrix), f"{root}/features")
+    matrix = matrix.sparkSession.read.parquet(f"{root}/features")
+    split = stratified_split(matrix)
+    model = fit_churn_model(split)
+    save_model(model, f"{root}/model")
+    write_parquet(model_metrics(model, split), f"{root}/metrics")
+    write_parquet(by_customer(score_customers(model, matrix)), f"{root}/scores")
+    write_parquet(by_customer(churn_drivers(model, matrix, 10)), f"{root}/drivers")
+
+
+def read_assets(spark: SparkSession, root: str) -> ChurnAssets:
+    return ChurnAssets(model=load_model(f"{root}/model"), **{k: spark.read.parquet(f"{root}/{k}") for k in ASSET_TABLES})
+
+
+def model_metrics(model: ChurnModel, split: DataFrame) -> DataFrame:
+    """CH6: test AUC and the sizes of the split."""
+    auc = evaluate(model, split)
+    return split.groupBy().agg(
+        F.sum((F.col("split") == "train").cast("bigint")).alias("train_rows"),
+        F.sum((F.col("split") == "test").cast("bigint")).alias("test_rows"),
+        F.sum(F.col("is_val").cast("bigint")).alias("validation_rows")).select(
+        F.lit(auc).alias("test_auc"), "train_rows", "test_rows", "validation_rows")
 
 
 def churn_assets(fact: DataFrame, root: str, rebuild: bool = False) -> ChurnAssets:
     """SNK5 + SNK6: load the stored model and tables when all are complete,
     else build the feature matrix, fit, score and explain, store everything
-    under ``root`` (a shared folder) and read it back."""
+    under ``root`` and read it back.  (``plans.context`` keeps them by their sources.)"""
     from mercato.operators.churn import churn_features, churn_matrix
-    from mercato.sources.io import path_complete, write_parquet
-    spark = fact.sparkSession
-
-    def by_customer(df: DataFrame) -> DataFrame:
-        # Each file holds a contiguous, sorted id range, so a one-customer
-        # lookup (customer_report) is answered from one file: Parquet min/max
-        # statistics let the reader skip the rest.
-        return df.repartitionByRange(CUST).sortWithinPartitions(CUST)
-
-    paths = {k: f"{root.rstrip('/')}/{k}" for k in ("model", "features", "scores", "drivers")}
-    have = all(path_complete(spark, paths[k]) for k in ("features", "scores", "drivers")) and \
-        path_complete(spark, paths["model"] + "/metadata")
+    from mercato.sources.io import path_complete
+    spark, root = fact.sparkSession, root.rstrip("/")
+    have = all(path_complete(spark, f"{root}/{k}") for k in (*ASSET_TABLES, "model/metadata"))
     if rebuild or not have:
-        matrix = churn_matrix(churn_features(fact))
-        write_parquet(by_customer(matrix), paths["features"])
-        matrix = spark.read.parquet(paths["features"])
-        split = stratified_split(matrix)
-        model = fit_churn_model(split)
-        evaluate(model, split)
-        save_model(model, paths["model"])
-        write_parquet(by_customer(score_customers(model, matrix)), paths["scores"])
-        train = split.where(F.col("split") == "train").drop("split", "is_val")
-        write_parquet(by_customer(churn_drivers(matrix, 10, train=train)), paths["drivers"])
-    model = load_model(paths["model"])
-    return ChurnAssets(model=model, features=spark.read.parquet(paths["features"]),
-                       scores=spark.read.parquet(paths["scores"]), drivers=spark.read.parquet(paths["drivers"]))
+        make_assets(churn_matrix(churn_features(fact)), root)
+    return read_assets(spark, root)
 
 
 def customer_report(assets: ChurnAssets, customer_id) -> DataFrame:

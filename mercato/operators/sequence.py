@@ -70,3 +70,40 @@ def sequence_within(df: DataFrame, group: Sequence[str], order: Sequence[str], n
     for c in first_cols:
         out = out.withColumn(first_prefix + c, F.col("__gfirst")[c])
     return out.drop("__slice", "__lrn", "__offset", "__gfirst")
+
+
+def _seconds(ts: str) -> Column:
+    """Seconds since 1970 of a wall-clock timestamp; NULL comes before all others."""
+    t = F.col(ts)
+    days = F.datediff(t.cast("date"), F.lit("1970-01-01").cast("date")).cast("long")
+    return F.coalesce(days * 86400 + F.hour(t) * 3600 + F.minute(t) * 60 + F.floor(F.second(t)), F.lit(-2**52)).cast("long")
+
+
+def sequence_by_time(df: DataFrame, group: str, ts: str, order: Sequence[str], name: str = "seq",
+                     first_cols: Sequence[str] = (), first_prefix: str = "first_") -> DataFrame:
+    """The numbers of ``sequence_within`` for an ``order`` that starts with the timestamp ``ts``, by counting.
+
+    Rows are counted per (group, second), partially aggregated, and the counts are summed up in two
+    steps: over the days of a group, and over the seconds of a day (at most 86,400).  That gives
+    every second the number of the group's rows before it.  The rows are shuffled once, by
+    (group, second), and numbered inside; no sort of all rows and no checkpoint.  One task holds at most
+    the rows of one group within one second.  NULL groups are not expected (T5)."""
+    keyed_rows = df.withColumn("__sec", _seconds(ts))
+    firsts = F.struct(*[F.col(c).alias(c) for c in first_cols]) if first_cols else F.lit(None)
+    place = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
+    # a minimum of structs takes NULL fields first, as the numbering does
+    seconds = keyed_rows.groupBy(group, "__sec").agg(F.count(F.lit(1)).alias("__n"), F.min_by(firsts, place).alias("__first")).withColumn(
+        "__day", F.floor(F.col("__sec") / 86400))
+    days = seconds.groupBy(group, "__day").agg(F.sum("__n").alias("__n"), F.min_by("__first", "__sec").alias("__first"))
+    whole = Window.partitionBy(group).orderBy("__day")
+    days = days.select(group, "__day", (F.sum("__n").over(whole) - F.col("__n")).alias("__before"),
+                       F.first("__first").over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("__gfirst"))
+    within = F.sum("__n").over(Window.partitionBy(group, "__day").orderBy("__sec")) - F.col("__n")
+    offsets = seconds.select(group, "__sec", "__day", within.alias("__within")).join(days, [group, "__day"]).select(
+        group, "__sec", (F.col("__before") + F.col("__within")).alias("__offset"), "__gfirst")
+    local = F.row_number().over(Window.partitionBy(group, "__sec").orderBy(*[_asc(c) for c in order]))
+    out = keyed_rows.withColumn("__rn", local).join(offsets, [group, "__sec"])
+    out = out.withColumn(name, (F.col("__offset") + F.col("__rn")).cast("bigint"))
+    for c in first_cols:
+        out = out.withColumn(first_prefix + c, F.col("__gfirst")[c])
+    return out.drop("__sec", "__rn", "__offset", "__gfirst")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from mercato.operators import churn, churn_model, clean, customers, delivery, forecast, fraud, geo, profile, sales
 from mercato.operators.fact import FACT_COLUMNS, delivered, orders_with_items
-from mercato.plans.context import Context
+from mercato.plans.context import PAYMENT_TYPES, Context
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -98,10 +98,6 @@ _fact_query("recent_orders", churn.recent_orders)
 _fact_query("pct_late_by_customer", churn.pct_late_by_customer)
 
 
-# The payment types of the bound tables, and the filler for none.
-PAYMENT_TYPES = ["a", "n", "r", "unknown"]
-
-
 @query("churn_matrix")
 def _churn_matrix(spark, sf_dir):
     return churn.churn_matrix(churn.churn_features(Context(spark, sf_dir).fact), PAYMENT_TYPES)
@@ -113,6 +109,11 @@ def _table_profile(spark, sf_dir):
     return profile.table_profile(Context(spark, sf_dir).src)
 
 
+@query("column_profile")
+def _column_profile(spark, sf_dir):
+    return profile.column_profile(Context(spark, sf_dir).src)
+
+
 @query("null_profile")
 def _null_profile(spark, sf_dir):
     return profile.null_profile(Context(spark, sf_dir).src)
@@ -133,7 +134,7 @@ def _fact_preview(spark, sf_dir):
 
 @query("build_fact")
 def _build_fact(spark, sf_dir):
-    f = Context(spark, sf_dir).fact
+    f = Context(spark, sf_dir).fresh_fact
     as_double = {"price", "freight_value", "payment_value", "item_total"}
     as_long = {"order_item_id", "review_no", "payment_installments"}
     return f.select(*[F.col(c).cast("double").alias(c) if c in as_double
@@ -175,7 +176,13 @@ def _fill_text(spark, sf_dir):
 
 @query("impute_group_median")
 def _impute(spark, sf_dir):
-    return Context(spark, sf_dir).clean.products.select("product_id", "product_category_name", "product_weight_g")
+    return Context(spark, sf_dir).clean.products.select("product_id", "product_category_name", *clean.PRODUCT_NUMERIC)
+
+
+@query("geolocation_clean")
+def _geolocation(spark, sf_dir):
+    """CLN1 + CLN7 on the table whose zip prefixes come as numbers."""
+    return Context(spark, sf_dir).clean.geolocation
 
 
 @query("category_label")
@@ -233,13 +240,12 @@ SEARCH = "12"
 
 @query("customer_search")
 def _customer_search(spark, sf_dir):
-    f = churn.churn_features(Context(spark, sf_dir).fact)
-    return churn.customer_search(f, SEARCH).select("customer_unique_id", "num_orders", "recency", "total_spent")
+    return churn.customer_search(Context(spark, sf_dir).matrix, SEARCH).select("customer_unique_id", "num_orders", "recency", "total_spent")
 
 
 @query("customer_card")
 def _customer_card(spark, sf_dir):
-    f = churn.churn_features(Context(spark, sf_dir).fact)
+    f = Context(spark, sf_dir).matrix
     first_id = f.agg(F.min("customer_unique_id")).scalar()
     return churn.customer_card(f, first_id).select("customer_unique_id", "num_orders", "recency", "total_spent",
                                                    "churn")
@@ -247,48 +253,29 @@ def _customer_card(spark, sf_dir):
 
 @query("churn_customer_count")
 def _churn_customer_count(spark, sf_dir):
-    f = churn.churn_features(Context(spark, sf_dir).fact)
-    return f.agg(F.count(F.lit(1)).alias("total_customers"))
+    return Context(spark, sf_dir).matrix.agg(F.count(F.lit(1)).alias("total_customers"))
 
 
 # Models and forecasts (rows-only checks: the fits have no SQL form)
-def _split(spark, sf_dir):
-    return churn_model.stratified_split(_churn_matrix(spark, sf_dir))
-
-
 @query("churn_split_counts")
 def _split_counts(spark, sf_dir):
-    return _split(spark, sf_dir).groupBy("churn", "split").agg(F.count(F.lit(1)).alias("customers"))
-
-
-def _fitted(spark, sf_dir):
-    split = _split(spark, sf_dir)
-    model = churn_model.fit_churn_model(split)
-    return model, split
+    split = churn_model.stratified_split(Context(spark, sf_dir).matrix)
+    return split.groupBy("churn", "split").agg(F.count(F.lit(1)).alias("customers"))
 
 
 @query("churn_model_metrics")
 def _model_metrics(spark, sf_dir):
-    model, split = _fitted(spark, sf_dir)
-    auc = churn_model.evaluate(model, split)
-    counts = split.groupBy().agg(
-        F.sum((F.col("split") == "train").cast("bigint")).alias("train_rows"),
-        F.sum((F.col("split") == "test").cast("bigint")).alias("test_rows"),
-        F.sum(F.col("is_val").cast("bigint")).alias("validation_rows"))
-    return counts.select(F.lit(auc).alias("test_auc"), "train_rows", "test_rows", "validation_rows")
+    return Context(spark, sf_dir).assets.metrics
 
 
 @query("churn_scores")
 def _churn_scores(spark, sf_dir):
-    model, split = _fitted(spark, sf_dir)
-    return churn_model.score_customers(model, split)
+    return Context(spark, sf_dir).assets.scores
 
 
 @query("churn_drivers")
 def _churn_drivers(spark, sf_dir):
-    split = _split(spark, sf_dir)
-    return churn_model.churn_drivers(split.drop("split", "is_val"), 10,
-                                     train=split.where(F.col("split") == "train").drop("split", "is_val"))
+    return Context(spark, sf_dir).assets.drivers
 
 
 @query("revenue_forecast")
@@ -318,7 +305,7 @@ def _forecast_metrics_given(spark, sf_dir):
 def _risk_tier(spark, sf_dir):
     """CH8 on a given probability column: each customer's late-order share
     stands in for a model output, so the tier rule is checked exactly."""
-    f = churn.churn_features(Context(spark, sf_dir).fact)
+    f = Context(spark, sf_dir).matrix
     return f.select("customer_unique_id", F.col("pct_late").alias("probability"),
                     churn_model.risk_tier(F.col("pct_late")).alias("risk_level"))
 

@@ -138,9 +138,9 @@ def test_salted_left_join_equals_plain_left_join(spark):
     small = spark.createDataFrame(
         [("hot", 1, "a"), ("hot", 2, "b")] + [(f"k{j}", j, "x") for j in range(0, 300, 2)] + [("zzz", 0, "y")],
         "k string, r int, s string")
-    assert [r[0] for r in hot_keys(big.select("k"), "k", max_hot=100).collect()] == ["hot"]
+    assert [r[0] for r in hot_keys(big.select("k"), "k", rows_per_salt=250).collect()] == ["hot"]
     want = big.join(small, "k", "left")
-    got = salted_left_join(big, small, "k", salts=8, max_hot=100)
+    got = salted_left_join(big, small, "k", rows_per_salt=250)
     assert got.count() == want.count()
     assert got.exceptAll(want.select(*got.columns)).count() == 0
     assert want.select(*got.columns).exceptAll(got).count() == 0
