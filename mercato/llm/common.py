@@ -14,11 +14,11 @@ from pyspark.sql import functions as F
 from mercato.session import checkpoint_root
 
 
-def stored(df: DataFrame, tag: str) -> DataFrame:
+def stored(df: DataFrame, tag: str, **options: str) -> DataFrame:
     """Write ``df`` as Parquet in the session's shared folder and read it back:
     lineage ends there, so a lost executor costs no earlier stage."""
     path = f"{checkpoint_root(df.sparkSession)}/llm-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

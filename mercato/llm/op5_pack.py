@@ -77,7 +77,8 @@ class Packer:
     """Packs blocks of documents; an open window is carried over to the next block."""
 
     def __init__(self, task: int):
-        self.base, self.n, self.rows, self.left = task << 40, 0, [], []
+        # a task has less than 2^40 sequences and 2^28 step groups of a size, and numbers stay below 2^63
+        self.base, self.step_base, self.n, self.rows, self.left = task << 40, task << 32, 0, [], []
         self.steps: dict[int, int] = {}
 
     def emit(self, pieces: list, size: int) -> None:
@@ -88,7 +89,7 @@ class Packer:
         for doc, ids, start, length in pieces:
             raw = ids[start:start + length].tobytes()
             self.rows.append((doc, start, length, zlib.crc32(raw), len(ids), self.base + self.n, at, size,
-                              (self.base + group * size // STEP) * 64 + size.bit_length(), raw))
+                              self.step_base + (group * size // STEP) * 16 + size.bit_length(), raw))
             at += length
         self.n += 1
 
@@ -148,7 +149,7 @@ class Packer:
     def frame(self, schema: str = SCHEMA) -> pd.DataFrame:
         names = [x.split()[0] for x in schema.split(", ")]
         rows, self.rows = self.rows, []
-        return pd.DataFrame([x[:len(names)] for x in rows], columns=names)
+        return pd.DataFrame([x[:len(names)] for x in rows], columns=names).astype({"doc_id": "Int64"})
 
 
 def pack(docs: DataFrame, path: str | None = None, block_docs: int = 1024, with_ids: bool = False) -> DataFrame:
@@ -162,11 +163,12 @@ def pack(docs: DataFrame, path: str | None = None, block_docs: int = 1024, with_
             for i in range(0, len(pdf), block_docs):
                 part = pdf.iloc[i:i + block_docs]
                 texts = [t or "" for t in part["text"]]
-                packer.block(list(zip(part["doc_id"], map(encode, texts))))
+                ids = [d if known else None for d, known in zip(part["doc_id"], part["known"])]
+                packer.block(list(zip(ids, map(encode, texts))))
                 yield packer.frame(schema)
         packer.close()
         yield packer.frame(schema)
 
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return d.select(F.coalesce("doc_id", F.lit(-2**63)).alias("doc_id"), "text").mapInPandas(run, schema).withColumn(
-        "doc_id", F.when(F.col("doc_id") != -2**63, F.col("doc_id")))
+    # pandas would make a column of ids with nulls a float one
+    i = F.col("doc_id").cast("long")
+    return docs.select(F.coalesce(i, F.lit(0)).alias("doc_id"), i.isNotNull().alias("known"), "text").mapInPandas(run, schema)

@@ -96,26 +96,26 @@ def sketch(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def blocks(batches, size: int = 4_000_000):
-    """(doc_ids, texts) of a bounded number of bytes, at least one row."""
+    """(doc_ids, texts, rows) of a bounded number of bytes, at least one row."""
     for b in batches:
         ids, texts = b.column("doc_id").to_pylist(), [x.as_py() for x in b.column("text").cast(pa.binary())]
         lo, total = 0, 0
         for i, t in enumerate(texts):
             total += len(t or b"")
             if total >= size or i == len(texts) - 1:
-                yield ids[lo:i + 1], texts[lo:i + 1]
+                yield ids[lo:i + 1], texts[lo:i + 1], b.slice(lo, i + 1 - lo)
                 lo, total = i + 1, 0
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept."""
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    """doc_id, n_shingles, component_id, kept, text_hash (of the row's text: rows may share a doc_id)."""
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     n_bands, n_rows = banding(percent)
     least = least_agree(percent)
 
     def describe(batches):
         of = Memo(xxhash.xxh64_intdigest)
-        for ids, texts in blocks(batches):
+        for ids, texts, part in blocks(batches):
             sets = shingles(texts, of)
             some = [s for s in sets if len(s)]
             k = sketch(some)
@@ -128,10 +128,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
                 pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                 pa.array([next(keys) if len(s) else None for s in sets], pa.list_(pa.int64())),
-                pa.array([next(low) if len(s) else None for s in sets], pa.list_(pa.int32()))],
-                ["doc_id", "n_shingles", "set", "keys", "sketch"])
+                pa.array([next(low) if len(s) else None for s in sets], pa.list_(pa.int32())),
+                part.column("text_hash")], ["doc_id", "n_shingles", "set", "keys", "sketch", "text_hash"])
 
-    rows = stored(d.mapInArrow(describe, "doc_id long, n_shingles long, set binary, keys array<long>, sketch array<int>"), "sketches")
+    rows = stored(d.mapInArrow(describe, "doc_id long, n_shingles long, set binary, keys array<long>, sketch array<int>, text_hash long"), "sketches")
     classes = rows.where("set is not null and doc_id is not null").groupBy("set").agg(
         F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
     classes = stored(classes, "classes")
@@ -140,12 +140,12 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
     def sets_of(batches):
         of = Memo(xxhash.xxh64_intdigest)
-        for ids, texts in blocks(batches):
+        for ids, texts, _ in blocks(batches):
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(
                 [s.view(np.int64) for s in shingles(texts, of)], pa.list_(pa.int64()))], ["node", "set"])
 
     # a repeated doc_id with other text gives several sets; each is compared
-    sets = stored(d.join(nodes, "doc_id").mapInArrow(sets_of, "node long, set array<long>"), "sets")
+    sets = stored(d.select("doc_id", "text").join(nodes, "doc_id").mapInArrow(sets_of, "node long, set array<long>"), "sets")
 
     def verify(pairs: DataFrame) -> DataFrame:
         a = sets.select(F.col("node").alias("a"), F.col("set").alias("x"))
@@ -183,4 +183,4 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     groups = classes.join(comps, "node", "left").select("set", F.coalesce("component", "node").alias("component"))
     return rows.join(groups, "set", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"),
-        (F.col("doc_id") == F.coalesce("component", "doc_id")).alias("kept"))
+        (F.col("doc_id") == F.coalesce("component", "doc_id")).alias("kept"), "text_hash")

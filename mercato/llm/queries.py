@@ -46,7 +46,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op9_minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    return op9_minhash.near_duplicates(_table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

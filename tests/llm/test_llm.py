@@ -286,25 +286,52 @@ def test_sketch_fills_every_bin_and_estimates():
     assert abs((k[1] == k[2]).mean() - 900 / 1100) < 0.25
 
 
-def hamming_links(lines):
-    """Brute force over normalised lines with the operator's own SimHashes: {line: root}."""
-    def distance(a, b):
-        d = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            prev, d[0] = d[0], i
-            for j, y in enumerate(b, 1):
-                prev, d[j] = d[j], min(d[j] + 1, d[j - 1] + 1, prev + (x != y))
-        return d[-1]
-    root = {k: k for k in lines}
-    for _ in range(4):
-        for a, (sa, wa) in lines.items():
-            for b, (sb, wb) in lines.items():
-                if bin(sa ^ sb).count("1") <= 3 and distance(wa, wb) <= int(max(len(wa), len(wb)) * 0.2 + 1e-9):
-                    root[a] = root[b] = min(root[a], root[b])
-    return root
+def word_distance(a, b):
+    d = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        prev, d[0] = d[0], i
+        for j, y in enumerate(b, 1):
+            prev, d[j] = d[j], min(d[j] + 1, d[j - 1] + 1, prev + (x != y))
+    return d[-1]
+
+
+def plain_line_dedup(rows):
+    """[(text, removed)] of (doc_id, text, lines as words): all pairs of distinct lines by edit similarity."""
+    first = {}
+    order = sorted({(i is not None, i or 0, t): ws for i, t, ws in rows}.items())
+    for key, ws in order:
+        for k, w in enumerate(ws):
+            if w:
+                at = (key[:2], k, key)
+                first[w] = min(first.get(w, at), at)
+    lines = list(first)
+    root = {w: w for w in lines}
+
+    def find(w):
+        while root[w] != w:
+            w = root[w]
+        return w
+
+    for x in range(len(lines)):
+        for y in range(x):
+            a, b = lines[x], lines[y]
+            most = max(len(a), len(b)) // 5
+            if most >= abs(len(a) - len(b)) and len({*a} - {*b}) <= most and word_distance(a, b) <= most:
+                root[find(a)] = find(b)
+    keep = {}
+    for w in lines:
+        g = find(w)
+        keep[g] = min(keep.get(g, first[w]), first[w])
+    out = []
+    for i, t, ws in rows:
+        key = (i is not None, i or 0, t)
+        left = [k for k, w in enumerate(ws) if not w or keep[find(w)][1:] == (k, key)]
+        out.append((i, None if t is None else "\n".join(t.split("\n")[k] for k in left), len(ws) - len(left)))
+    return out
 
 
 def test_line_dedup_against_brute_force(spark, docs):
+    from pyspark.sql import functions as F
     base = [prose(500 + i, 70).split() for i in range(6)]
     rows = []
     for i in range(24):
@@ -312,37 +339,69 @@ def test_line_dedup_against_brute_force(spark, docs):
         if i >= 12:
             w[i % 70] = "changed"
         rows.append((i, "Short line.\n" + " ".join(w).capitalize() + ".\n\n" + prose(700 + i, 12)))
-    rows += [(100 + (i or 0), t) for i, t in CASES if i]
+    r = random.Random(12)
+    for i in range(60):  # lines of few words, repeated words, and lines that share their opening
+        a = [r.choice(WORDS[:12]) for _ in range(r.randint(1, 14))]
+        b = list(a)
+        for _ in range(r.randint(0, 3)):
+            b[r.randrange(len(b)):][:1] = [r.choice(WORDS[:14])]
+            b.insert(r.randrange(len(b) + 1), r.choice(WORDS[:14]))
+        rows.append((1000 + i, " ".join(a) + "\n" + ", ".join(b) + "\n" + " ".join(WORDS[:6] + [r.choice(WORDS) for _ in range(6)])))
+    rows += [(100 + (i or 0), t) for i, t in CASES if i] + [(None, "Short line.\nno id " + prose(1, 5))]
     d = docs(rows)
-    from pyspark.sql import functions as F
-    lines = d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("w", op10_lines.words("line"))
-    lines = op10_lines.with_simhash(lines.where("size(w) >= 5"), "w", "sim").collect()
-    first = {}
-    for r in sorted(lines, key=lambda r: (r.doc_id, r.pos)):
-        first.setdefault(tuple(r.w), (r.doc_id, r.pos, r.sim))
-    order = {w: k for k, (w, _) in enumerate(first.items())}
-    root = hamming_links({order[w]: (s, w) for w, (_, _, s) in first.items()})
-    keep = {g: next(w for w in first if root[order[w]] == g) for g in set(root.values())}
-    gone = {(r.doc_id, r.pos) for r in lines if (r.doc_id, r.pos) != first[keep[root[order[tuple(r.w)]]]][:2]}
-    # rows equal in doc_id and text share their decisions
+    split = d.select("doc_id", "text", F.transform(F.split("text", "\n"), op10_lines.words).alias("w")).collect()
+    want = plain_line_dedup([(x.doc_id, x.text, [tuple(w) for w in x.w or []]) for x in split])
     out = op10_lines.dedup_lines(d).collect()
-    assert len(out) == len(rows)
-    assert any(root[order[tuple(a.w)]] != order[tuple(a.w)] for a in lines)
-    for r in out:
-        text = next(t for i, t in rows if i == r.doc_id)
-        want = None if text is None else "\n".join(x for k, x in enumerate(text.split("\n")) if (r.doc_id, k) not in gone)
-        assert r.text == want and r.node == 1
+    key = lambda t: (t[0] is not None, t[0] or 0, t[1] or "", t[2])
+    assert sorted([(x.doc_id, x.text, x["__removed"]) for x in out], key=key) == sorted(want, key=key)
+    assert all(x.node == 1 for x in out) and sum(x["__removed"] for x in out) > 40
     assert op10_lines.dedup_lines(docs([])).count() == 0
 
 
-def test_simhash_majority_in_all_lanes(spark, docs):
-    import pyspark.sql.functions as F
-    rows = [(n, " ".join(f"w{i}" for i in range(n))) for n in (5, 63, 64, 1023, 1024, 1500)]
-    df = docs(rows).withColumn("w", op10_lines.words("text"))
-    got = op10_lines.with_simhash(df, "w", "sim").withColumn("h", F.transform("w", lambda x: F.xxhash64(x))).collect()
-    for r in got:
-        want = sum(1 << b for b in range(60) if 2 * sum(h >> b & 1 for h in r.h) > len(r.h))
-        assert r.sim == want
+def test_lines_of_lower_similarity_stay(spark, docs):
+    """Ten words of which three differ, with many choices of the three: no pair is linked."""
+    rows = []
+    for i in range(400):
+        a = prose(9000 + i, 10).split()
+        b = list(a)
+        for k in (1, 4, 8):
+            b[k] = f"other{i}x{k}"
+        rows += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(b))]
+    assert not any(r["__removed"] for r in op10_lines.dedup_lines(docs(rows)).collect())
+
+
+def test_lines_with_a_common_opening_list_few_pairs(spark, docs, monkeypatch):
+    """Pairs compared grow with the lines, not with their square."""
+    listed = []
+    real = op10_lines.linked_groups
+
+    def counted(buckets, verify, quick):
+        def check(pairs):
+            listed[-1] += pairs.count()
+            return verify(pairs)
+        return real(buckets, check, quick)
+
+    monkeypatch.setattr(op10_lines, "linked_groups", counted)
+    for n in (500, 2000):
+        listed.append(0)
+        rows = [(i, f"read all about it today w{i}a w{i}b w{i}c w{i}d") for i in range(n)]
+        assert not any(r["__removed"] for r in op10_lines.dedup_lines(docs(rows)).collect())
+    assert listed[1] <= 8 * max(listed[0], 50)
+
+
+def test_within_edits_compares_words_exactly(spark):
+    from pyspark.sql import functions as F
+    r = random.Random(4)
+    rows = []
+    for n in (5, 10, 19, 60, 300):
+        a = [f"w{r.randrange(10**6)}" for _ in range(n)]
+        for k in (n // 5 - 1, n // 5, n // 5 + 1):
+            b = list(a)
+            for i in r.sample(range(n), max(k, 0)):
+                b[i] = f"x{i}"
+            rows.append(("\n".join(a), "\n".join(b), k <= n // 5))
+    got = spark.createDataFrame(rows, "x string, y string, want boolean").select("want", op10_lines.within_edits("x", "y").alias("got"))
+    assert all(x.got == x.want for x in got.collect())
 
 
 def test_linked_groups_keep_a_chain_through_pivots(spark):
@@ -353,3 +412,16 @@ def test_linked_groups_keep_a_chain_through_pivots(spark):
     buckets = shared_buckets(spark.createDataFrame([(1, i) for i in range(40)], "key long, node long"))
     comps = linked_groups(buckets, lambda p: p.where("b - a = 1"), lambda: F.lit(True))
     assert {r.component for r in comps.collect()} == {0}
+
+
+def test_step_groups_fit_any_number_of_tasks():
+    import pyarrow as pa
+    p = op5_pack.Packer(800_000)
+    ids = np.arange(5000, dtype="<u4")
+    p.block([(None, ids), (2**62, ids[:70])])
+    p.close()
+    got = p.frame()
+    table = pa.Table.from_pandas(got)
+    assert table.schema.field("doc_id").type == pa.int64() and set(table["doc_id"].to_pylist()) == {None, 2**62}
+    assert (got["step_group"] >= 800_000 << 32).all() and (got["step_group"] < 800_001 << 32).all()
+    assert (got["sequence_id"] >= 800_000 << 40).all()
