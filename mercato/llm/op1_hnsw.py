@@ -3,10 +3,10 @@
 Equal vectors of one label form a class and are indexed once.  The classes of a
 label are dealt into shards of bounded size; each shard gets a graph, built in
 one task and stored.  Blocks of query classes are then sent to every shard of
-their label.  The beam of a (block, shard) task widens until an audit against
-brute force finds every link of the audited queries, and for a single query as
-long as its whole beam consists of links.  Hits are verified in double
-precision.  A task returns, per class, the number of linked vectors and one
+their label.  The beam of a (block, shard) task widens, for the queries with links and for
+those without apart, until an audit against brute force finds every link of the
+audited queries and their nearest neighbours; the audit looks at random queries and
+at those whose finds are the worst.  Hits are verified in double precision.  A task returns, per class, the number of linked vectors and one
 edge to the local union's root, never all pairs of a group.
 
 Defined results: a null, zero, ragged or non-finite vector, or a null label,
@@ -128,10 +128,12 @@ def descend(vec, layers, q):
     return entry
 
 
-def _links(vec, exact, layers, q, q_exact, thr, ef):
-    """Linked (query, node) positions, verified in double precision: the hits of
-    a beam search, then all hits that the graph reaches from hits."""
+def _links(vec, exact, layers, q, q_exact, same, thr, ef):
+    """(links, best): linked (query, node) positions, verified in double precision (the hits of
+    a beam search, then all hits that the graph reaches from hits), and the best
+    similarity that the beam saw for each query; ``same`` is a query's own node and counts as neither."""
     ids, sims = _search(vec, layers[-1], descend(vec, layers[:-1], q), q, min(ef, len(vec)))
+    best = np.where((ids >= 0) & (ids != same[:, None]), sims, -2.0).max(1)
     r, c = np.nonzero(sims >= thr - 1e-3)
     front = np.stack([r, ids[r, c]])
     seen = np.zeros((len(q), len(vec)), bool)
@@ -153,24 +155,63 @@ def _links(vec, exact, layers, q, q_exact, thr, ef):
     f = np.concatenate(found, 1)
     ok = np.concatenate([np.einsum("ij,ij->i", q_exact[f[0, i:i + 65536]], exact[f[1, i:i + 65536]])
                          for i in range(0, f.shape[1], 65536)] or [np.zeros(0)]) >= thr
-    return f[:, ok]
+    ok &= same[f[0]] != f[1]
+    return f[:, ok], best
 
 
-def probe(vec, layers, q, thr, audit, ef=64):
-    """(links, beam, recall): all queries against one shard; the beam doubles
-    until the audited queries have every link that brute force finds.  A beam
-    as wide as the shard is an exact scan."""
+def _scan(exact, q_exact, same, thr):
+    """(links, best) by brute force in double precision."""
+    hits, best = [], []
+    for i in range(0, len(q_exact), 512):
+        s = q_exact[i:i + 512] @ exact.T
+        own = np.flatnonzero(same[i:i + 512] >= 0)
+        s[own, same[i + own]] = -2.0
+        hits.append(np.stack(np.nonzero(s >= thr)) + [[i], [0]])
+        best.append(s.max(1))
+    return np.concatenate([np.zeros((2, 0), np.int64), *hits], 1), np.concatenate([np.zeros(0), *best])
+
+
+def probe(vec, layers, q, thr, audit, ef=64, same=None):
+    """(links, beam, recall): all queries against one shard, the widest beam used, and the share of the
+    audited links that the beam had found (nan if the audited queries have none).
+
+    After a search the queries fall into those with a link and those without.  Of each kind up to
+    ``audit`` queries are scanned by brute force: random ones, and of those without a link
+    as many again whose best find is the worst, for a search that went astray ends
+    among strangers.  A kind passes if its audited queries missed no link and, without links, at most one in
+    fifty a nearer neighbour; else all its queries are searched again with twice the beam.  A beam as wide as
+    half the shard is an exact scan instead."""
     exact, q_exact = vec, q
     vec, q = vec.astype(np.float32), q.astype(np.float32)
-    sample = np.argsort(mix64(np.arange(len(q), dtype=np.uint64)))[:audit]
-    want = (q_exact[sample] @ exact.T >= thr).sum()
-    while ef < len(vec) // 2:
-        got = _links(vec, exact, layers, q[sample], q_exact[sample], thr, ef).shape[1]
-        if got >= want:
-            return _links(vec, exact, layers, q, q_exact, thr, ef), ef, 1.0
-        ef *= 2
-    hits = [np.stack(np.nonzero(q_exact[i:i + 512] @ exact.T >= thr)) + [[i], [0]] for i in range(0, len(q), 512)]
-    return np.concatenate(hits, 1), len(vec), 1.0
+    same = np.full(len(q), -1) if same is None else same
+    order = np.argsort(mix64(np.arange(len(q), dtype=np.uint64)))
+    todo, kept, had, true = np.arange(len(q)), [], 0, 0
+    while len(todo):
+        if ef >= len(vec) // 2:
+            f, _ = _scan(exact, q_exact[todo], same[todo], thr)
+            kept.append(np.stack([todo[f[0]], f[1]]))
+            ef, had, true = len(vec), f.shape[1], f.shape[1]
+            break
+        f, best = _links(vec, exact, layers, q[todo], q_exact[todo], same[todo], thr, ef)
+        n = np.bincount(f[0], minlength=len(todo))
+        again = np.zeros(len(todo), bool)
+        shuffled = np.argsort(np.argsort(order)[todo])
+        had = true = 0
+        for linked in (False, True):
+            kind = np.flatnonzero((n > 0) == linked)
+            sample = kind[np.argsort(shuffled[kind])][:audit]
+            if not linked:
+                sample = np.union1d(sample, kind[np.argsort(best[kind], kind="stable")][:audit])
+            want, nearest = _scan(exact, q_exact[todo[sample]], same[todo[sample]], thr)
+            had, true = had + int(n[sample].sum()), true + want.shape[1]
+            astray = (nearest > best[sample] + 1e-4).sum() if not linked else 0
+            again[kind] = want.shape[1] > n[sample].sum() or astray > len(sample) / 50
+        done = ~again[f[0]]
+        kept.append(np.stack([todo[f[0, done]], f[1, done]]))
+        todo = todo[again]
+        if len(todo):
+            ef *= 2
+    return np.concatenate([np.zeros((2, 0), np.int64), *kept], 1), ef, had / true if true else float("nan")
 
 
 def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -234,15 +275,16 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, shard_rows: int =
                 vec = np.frombuffer(r.vec).reshape(len(rep), -1)
                 q = np.frombuffer(r.q).reshape(len(q_rep), -1)
                 layers = list(np.frombuffer(r.adj, np.int32).reshape(r.n_layers, len(rep), -1).astype(np.int64))
-                hit, beam, recall = probe(vec, layers, q, threshold, audit)
-                hit = hit[:, q_rep[hit[0]] != rep[hit[1]]]
+                at = {r: i for i, r in enumerate(rep.tolist())}
+                own = np.array([at.get(r, -1) for r in q_rep.tolist()])
+                hit, beam, recall = probe(vec, layers, q, threshold, audit, same=own)
                 n = np.bincount(hit[0], mult[hit[1]], len(q)).astype(np.int64)
                 ids, pos = np.unique(np.concatenate([q_rep, rep]), return_inverse=True)
                 root = ids[_roots(len(ids), pos[:len(q)][hit[0]], pos[len(q):][hit[1]])]
                 links = np.zeros(len(ids), np.int64)
                 links[pos[:len(q)]] = n
                 keep = (links > 0) | (root != ids)
-                yield pd.DataFrame({"node": ids[keep], "links": links[keep], "root": root[keep], "beam": beam, "recall": recall})
+                yield pd.DataFrame({"node": ids[keep], "links": links[keep], "root": root[keep], "beam": beam, "recall": recall})  # recall: of the audited links
 
     # one (block, shard) pair to a task at a time: a row holds two bounded blobs
     pairs = blocks.join(graphs, "part").repartition(F.xxhash64("part", "block", "shard"))
