@@ -81,7 +81,7 @@ def shingles(texts: list[bytes | None], of: Memo) -> list[np.ndarray]:
 
 def sketch(sets: list[np.ndarray]) -> np.ndarray:
     """One row of BINS coordinates per non-empty set: round in the high bits, fraction below."""
-    n = np.array([len(s) for s in sets])
+    n = np.array([len(s) for s in sets], np.int64)
     elem, doc = np.concatenate([np.zeros(0, np.uint64), *sets]), np.repeat(np.arange(len(sets)), n)
     full = np.full(len(sets) * BINS, np.iinfo(np.uint64).max, np.uint64)
     for i in range(2 * BINS):

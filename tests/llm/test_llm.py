@@ -55,6 +55,25 @@ def test_vectors_against_brute_force(spark):
     assert op1_hnsw.near_vectors(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_links_outside_a_dense_region_are_found(seed):
+    """97 % of a shard in one dense region, links elsewhere: each is found, and the recall is measured."""
+    r = np.random.default_rng(seed)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    center = r.normal(size=32)
+    dense = unit(center + 0.6 * r.normal(size=(2400, 32)))
+    far = unit(r.normal(size=(40, 32)))
+    mates = unit(far + 0.03 * r.normal(size=far.shape))
+    shard = r.permutation(np.concatenate([dense, mates]))
+    q = r.permutation(np.concatenate([unit(center + 0.6 * r.normal(size=(1500, 32))), far]))
+    layers = [x.astype(np.int64) for x in op1_hnsw.build(shard.astype(np.float32))]
+    hit, beam, recall = op1_hnsw.probe(shard, layers, q, 0.93, 64)
+    assert set(zip(*hit.tolist())) == set(zip(*np.nonzero(q @ shard.T >= 0.93)))
+    assert hit.shape[1] >= 40 and recall == 1.0
+    none = op1_hnsw.probe(dense, [x.astype(np.int64) for x in op1_hnsw.build(dense.astype(np.float32))], far, 0.93, 64)
+    assert none[0].shape[1] == 0 and np.isnan(none[2])
+
+
 def winnow(text):
     """Hash-free version: positions of the rightmost minima, given the operator's gram hashes."""
     import re
