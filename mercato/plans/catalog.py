@@ -60,6 +60,8 @@ _fact_query("city_analysis", geo.city_analysis)
 _fact_query("state_top_categories", geo.state_top_categories)
 _fact_query("state_vs_national", geo.state_vs_national)
 _fact_query("distinct_states", geo.distinct_states)
+QUERIES["sales_by_state_approx"] = lambda spark, sf_dir: geo.sales_by_state_approx(
+    Context(spark, sf_dir).sketches, RANGE_START, RANGE_END)
 # Delivery
 _fact_query("delivery_kpis", delivery.delivery_kpis)
 _fact_query("delivery_time_histogram", delivery.delivery_time_histogram)

@@ -16,7 +16,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mercato.operators import churn, churn_model
+from mercato.operators import churn, churn_model, geo
 from mercato.operators.clean import CleanTables, clean
 from mercato.operators.fact import FACT_COLUMNS, build_fact
 from mercato.session import checkpoint_root
@@ -71,6 +71,11 @@ class Context:
                      lambda: churn_model.by_customer(churn.churn_matrix(churn.churn_features(self.fact), PAYMENT_TYPES)),
                      self.sources, VERSION)
 
+    @cached_property
+    def sketches(self) -> DataFrame:
+        """Distinct-count sketches per day and state."""
+        return keyed(self.spark, f"{self.store}/sketches", lambda: geo.state_sketches(self.fact), self.sources, VERSION)
+
     @cached_property
     def assets(self) -> churn_model.ChurnAssets:
         """SNK5 + SNK6: the fitted churn model, its scores, drivers and metrics."""

@@ -144,3 +144,20 @@ def test_salted_left_join_equals_plain_left_join(spark):
     assert got.count() == want.count()
     assert got.exceptAll(want.select(*got.columns)).count() == 0
     assert want.select(*got.columns).exceptAll(got).count() == 0
+
+
+def test_sketched_counts_are_within_two_percent_of_the_exact_ones(spark):
+    from mercato.plans.catalog import RANGE_END, RANGE_START
+    from tests.conftest import MEDIUM
+
+    ctx = Context(spark, MEDIUM)
+    for start, end in ((None, None), (RANGE_START, RANGE_END)):
+        exact = {r.customer_state: r for r in geo.sales_by_state(ctx.fact, start, end).collect()}
+        got = geo.sales_by_state_approx(ctx.sketches, start, end).collect()
+        assert {r.customer_state for r in got} == set(exact) and len(got) > 20
+        for r in got:
+            e = exact[r.customer_state]
+            assert r.total_revenue == e.total_revenue
+            assert abs(r.total_orders - e.total_orders) <= 0.02 * e.total_orders
+            assert abs(r.unique_customers - e.unique_customers) <= 0.02 * e.unique_customers
+    assert "/fact/" not in geo.sales_by_state_approx(ctx.sketches)._jdf.queryExecution().executedPlan().toString()
