@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from mercato.llm.common import components, mix64, stored
 
 M = 16
+#: Neighbours this far below the threshold stand for links in an audit that sees none.
+NEAR = 0.1
 
 
 def _search(vec, adj, entry, q, ef):
@@ -178,8 +180,8 @@ def probe(vec, layers, q, thr, audit, ef=64, same=None):
     After a search the queries fall into those with a link and those without.  Of each kind up to
     ``audit`` queries are scanned by brute force: random ones, and of those without a link
     as many again whose best find is the worst, for a search that went astray ends
-    among strangers.  A kind passes if its audited queries missed no link and, without links, at most one in
-    fifty a nearer neighbour; else all its queries are searched again with twice the beam.  A beam as wide as
+    among strangers.  A kind passes if its audited queries missed no link and, of those without links whose
+    nearest neighbour is almost one (within NEAR), at most one in twenty missed it; else all its queries are searched again with twice the beam.  A beam as wide as
     half the shard is an exact scan instead."""
     exact, q_exact = vec, q
     vec, q = vec.astype(np.float32), q.astype(np.float32)
@@ -204,8 +206,9 @@ def probe(vec, layers, q, thr, audit, ef=64, same=None):
                 sample = np.union1d(sample, kind[np.argsort(best[kind], kind="stable")][:audit])
             want, nearest = _scan(exact, q_exact[todo[sample]], same[todo[sample]], thr)
             had, true = had + int(n[sample].sum()), true + want.shape[1]
-            astray = (nearest > best[sample] + 1e-4).sum() if not linked else 0
-            again[kind] = want.shape[1] > n[sample].sum() or astray > len(sample) / 50
+            almost = nearest >= thr - NEAR if not linked else np.zeros(len(sample), bool)
+            astray = (almost & (nearest > best[sample] + 1e-4)).sum()
+            again[kind] = want.shape[1] > n[sample].sum() or astray > almost.sum() / 20
         done = ~again[f[0]]
         kept.append(np.stack([todo[f[0, done]], f[1, done]]))
         todo = todo[again]
