@@ -181,15 +181,15 @@ def probe(vec, layers, q, thr, audit, ef=64, same=None):
     ``audit`` queries are scanned by brute force: random ones, and of those without a link
     as many again whose best find is the worst, for a search that went astray ends
     among strangers.  A kind passes if its audited queries missed no link and, of those without links whose
-    nearest neighbour is almost one (within NEAR), at most one in twenty missed it; else all its queries are searched again with twice the beam.  A beam as wide as
-    half the shard is an exact scan instead."""
+    nearest neighbour is almost one (within NEAR), at most one in twenty missed it; else all its queries are searched again with twice the beam.  A beam whose
+    neighbours would be as many as the shard's vectors is an exact scan instead."""
     exact, q_exact = vec, q
     vec, q = vec.astype(np.float32), q.astype(np.float32)
     same = np.full(len(q), -1) if same is None else same
     order = np.argsort(mix64(np.arange(len(q), dtype=np.uint64)))
     todo, kept, had, true = np.arange(len(q)), [], 0, 0
     while len(todo):
-        if ef >= len(vec) // 2:
+        if ef * 2 * M >= len(vec):
             f, _ = _scan(exact, q_exact[todo], same[todo], thr)
             kept.append(np.stack([todo[f[0]], f[1]]))
             ef, had, true = len(vec), f.shape[1], f.shape[1]
