@@ -104,3 +104,33 @@ def test_forecast_recovers_trend_and_weekly_cycle():
     err = max(abs(a - b) for a, b in zip(fut["yhat"], truth))
     assert err < 0.05 * truth[-1]
     assert (out["yhat_lower"] <= out["yhat"]).all() and (out["yhat"] <= out["yhat_upper"]).all()
+
+
+def test_forecast_interval_widens_and_covers_planted_breaks():
+    """Series with breaks of the trend at random days: the 90 % interval covers most future days and widens."""
+    import numpy as np
+
+    day = np.array([dt.date(2018, 1, 1) + dt.timedelta(days=i) for i in range(720)])
+    for gap, size in ((60, 0.6), (30, 0.3), (10**9, 0.0)):
+        covered, widths = [], []
+        for s in range(30):
+            r = np.random.default_rng(1000 + s)
+            breaks = (r.random(900) < 1 / gap) * r.laplace(0, size, 900) if size else np.zeros(900)
+            y = 1000 + np.cumsum(2 + np.cumsum(breaks)) + 60 * np.sin(2 * np.pi * np.arange(900) / 7) + r.normal(0, 40, 900)
+            out = forecast.fit_series(pd.DataFrame({"series": f"s{s}", "ds": day, "y": y[:720]}))
+            fut = out[out["is_future"]]
+            covered.append(((y[720:] >= fut["yhat_lower"]) & (y[720:] <= fut["yhat_upper"])).mean())
+            widths.append((fut["yhat_upper"] - fut["yhat_lower"]).to_numpy()[[0, 90, 179]])
+        a, b, c = np.mean(widths, 0)
+        assert 0.75 < np.mean(covered) < 0.97, (gap, np.mean(covered))
+        assert a < b < c and (size == 0 or c > 3 * a)
+    again = forecast.fit_series(pd.DataFrame({"series": "s29", "ds": day, "y": y[:720]}))
+    assert again.equals(out)
+
+
+def test_forecast_of_few_days():
+    for n in (1, 2, 5, 26):
+        ds = [dt.date(2020, 1, 1) + dt.timedelta(days=3 * i) for i in range(n)]
+        out = forecast.fit_series(pd.DataFrame({"series": "s", "ds": ds, "y": [100.0 + i for i in range(n)]}))
+        assert len(out) == n + forecast.HORIZON_DAYS and out[["yhat", "yhat_lower", "yhat_upper"]].notna().all().all()
+        assert (out["yhat_lower"] <= out["yhat"]).all() and (out["yhat"] <= out["yhat_upper"]).all()
