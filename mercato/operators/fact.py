@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mercato.functions.rules import day_diff
@@ -30,6 +30,24 @@ def orders_with_items(orders: DataFrame, items: DataFrame) -> DataFrame:
     return orders.join(items.select("order_id"), "order_id", "left_semi")
 
 
+def calendar_columns() -> dict[str, Column]:
+    """The purchase's date, year, month and weekday (Monday 0)."""
+    ts = F.col("order_purchase_timestamp")
+    return {"purchase_date": F.to_date(ts), "purchase_year": F.year(ts).cast("bigint"),
+            "purchase_month": F.date_format(ts, "yyyy-MM"), "purchase_weekday": F.weekday(ts).cast("bigint")}
+
+
+def day_columns() -> dict[str, Column]:
+    """Floored day counts of the estimate and the delay."""
+    return {"estimated_delivery_time": day_diff("order_estimated_delivery_date", "order_purchase_timestamp"),
+            "delivery_delay": day_diff("order_delivered_customer_date", "order_estimated_delivery_date")}
+
+
+def has_comment() -> Column:
+    """1 for a review with a text; 0 for an empty or missing one."""
+    return F.coalesce(F.length("review_comment_message") > 0, F.lit(False)).cast("bigint")
+
+
 def build_fact(cl: CleanTables) -> DataFrame:
     """Items left-joined to orders, customers, products, sellers, per-order
     payments and reviews.
@@ -57,17 +75,8 @@ def build_fact(cl: CleanTables) -> DataFrame:
         f = join_spread(f, side, "order_id", hot)
     f = f.drop(SALT)
 
-    ts = F.col("order_purchase_timestamp")
-    f = f.withColumns({
-        "purchase_date": F.to_date(ts),
-        "purchase_year": F.year(ts).cast("bigint"),
-        "purchase_month": F.date_format(ts, "yyyy-MM"),
-        "purchase_weekday": F.weekday(ts).cast("bigint"),
-        "estimated_delivery_time": day_diff("order_estimated_delivery_date", "order_purchase_timestamp"),
-        "delivery_delay": day_diff("order_delivered_customer_date", "order_estimated_delivery_date"),
-        "item_total": F.col("price") + F.col("freight_value"),
-        "has_comment": F.coalesce(F.length("review_comment_message") > 0, F.lit(False)).cast("bigint"),
-    })
+    f = f.withColumns({**calendar_columns(), **day_columns(), "item_total": F.col("price") + F.col("freight_value"),
+                       "has_comment": has_comment()})
     return f.select(*FACT_COLUMNS)
 
 

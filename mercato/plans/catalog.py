@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mercato.operators import churn, churn_model, clean, customers, delivery, forecast, fraud, geo, profile, sales
-from mercato.operators.fact import FACT_COLUMNS, delivered, orders_with_items
+from mercato.operators.fact import (FACT_COLUMNS, calendar_columns, day_columns, delivered, has_comment,
+                                    orders_with_items)
 from mercato.plans.context import PAYMENT_TYPES, Context
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -160,7 +161,9 @@ def _date_strings(spark, sf_dir):
 
 @query("parse_dates")
 def _parse_dates(spark, sf_dir):
-    s = _date_strings(spark, sf_dir).where(F.col("raw_ts") != "not a date")
+    """CLN2 on every order; the strict parse meets only well-formed text here."""
+    o = Context(spark, sf_dir).driver_table("orders")
+    s = o.select(F.col("o_orderkey").alias("order_id"), F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("raw_ts"))
     return clean.parse_timestamps(s, ["raw_ts"], "yyyy-MM-dd HH:mm:ss").withColumnRenamed("raw_ts", "parsed_ts")
 
 
@@ -189,7 +192,8 @@ def _geolocation(spark, sf_dir):
 
 @query("category_label")
 def _category_label(spark, sf_dir):
-    return Context(spark, sf_dir).clean.category_translation
+    """CLN8: every product with its category's label."""
+    return Context(spark, sf_dir).clean.products.select("product_id", "product_category_name", "category")
 
 
 @query("payments_per_order")
@@ -207,28 +211,20 @@ def _orders_with_items(spark, sf_dir):
 
 @query("calendar_columns")
 def _calendar(spark, sf_dir):
-    o = Context(spark, sf_dir).clean.orders
-    ts = F.col("order_purchase_timestamp")
-    return o.select("order_id", F.to_date(ts).alias("purchase_date"), F.year(ts).cast("bigint").alias("purchase_year"),
-                    F.date_format(ts, "yyyy-MM").alias("purchase_month"),
-                    F.weekday(ts).cast("bigint").alias("purchase_weekday"))
+    return Context(spark, sf_dir).clean.orders.select("order_id", *[v.alias(k) for k, v in calendar_columns().items()])
 
 
 @query("delivery_days")
 def _delivery_days(spark, sf_dir):
-    from mercato.functions.rules import day_diff
-    o = Context(spark, sf_dir).clean.orders
-    return o.select("order_id", "delivery_time",
-                    day_diff("order_estimated_delivery_date", "order_purchase_timestamp").alias("estimated_delivery_time"),
-                    day_diff("order_delivered_customer_date", "order_estimated_delivery_date").alias("delivery_delay"),
-                    "delay_vs_estimated")
+    return Context(spark, sf_dir).clean.orders.select(
+        "order_id", "delivery_time", *[v.alias(k) for k, v in day_columns().items()], "delay_vs_estimated")
 
 
 @query("has_comment")
 def _has_comment(spark, sf_dir):
     r = Context(spark, sf_dir).clean.reviews
     return r.select("order_id", F.col("review_no").cast("bigint").alias("review_no"),
-                    F.coalesce(F.length("review_comment_message") > 0, F.lit(False)).cast("bigint").alias("has_comment"))
+                    has_comment().alias("has_comment"))
 
 
 @query("date_bounds")

@@ -431,9 +431,9 @@ date_strings AS (
          CASE WHEN o_orderkey % 13 = 0 THEN 'not a date' ELSE strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') END
            AS raw_ts
   FROM orders)"""
-_Q["parse_dates"] = ", " + _DATE_STRINGS + """
-SELECT order_id, strptime(raw_ts, '%Y-%m-%d %H:%M:%S') AS parsed_ts FROM date_strings
-WHERE raw_ts <> 'not a date'"""
+_Q["parse_dates"] = """
+SELECT o_orderkey AS order_id, strptime(strftime(o_orderdate, '%Y-%m-%d %H:%M:%S'), '%Y-%m-%d %H:%M:%S') AS parsed_ts
+FROM orders"""
 _Q["coerce_dates"] = ", " + _DATE_STRINGS + """
 SELECT order_id, try_strptime(raw_ts, '%Y-%m-%d %H:%M:%S') AS parsed_ts FROM date_strings"""
 
@@ -444,7 +444,9 @@ _Q["impute_group_median"] = "SELECT * FROM cl_products"
 _Q["geolocation_clean"] = """
 SELECT DISTINCT * REPLACE (CAST(geolocation_zip_code_prefix AS VARCHAR) AS geolocation_zip_code_prefix)
 FROM src_geolocation"""
-_Q["category_label"] = "SELECT product_category_name, label FROM category_translation"
+_Q["category_label"] = """
+SELECT p.product_id, p.product_category_name, t.label AS category
+FROM cl_products p LEFT JOIN category_translation t ON p.product_category_name = t.product_category_name"""
 _Q["payments_per_order"] = """
 SELECT order_id, CAST(payment_value AS DOUBLE) AS payment_value,
        CAST(payment_installments AS BIGINT) AS payment_installments, payment_type

@@ -161,3 +161,25 @@ def test_sketched_counts_are_within_two_percent_of_the_exact_ones(spark):
             assert abs(r.total_orders - e.total_orders) <= 0.02 * e.total_orders
             assert abs(r.unique_customers - e.unique_customers) <= 0.02 * e.unique_customers
     assert "/fact/" not in geo.sales_by_state_approx(ctx.sketches)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_results_come_in_the_dashboard_s_order(spark):
+    """Sorted views keep their order; ties go by name."""
+    from mercato.operators import customers, sales
+
+    fact = Context(spark, SMALL).fact
+
+    def ordered(df, key):
+        rows = df.collect()
+        assert len(rows) > 2 and rows == sorted(rows, key=key)
+
+    ordered(geo.sales_by_state(fact), lambda r: (-r.total_revenue, r.customer_state))
+    ordered(geo.customer_distribution(fact), lambda r: (-r.unique_customers, r.customer_state))
+    ordered(geo.seller_performance(fact), lambda r: (-r.total_revenue, r.seller_state))
+    ordered(customers.payment_analysis(fact), lambda r: (-r.total_revenue, r.payment_type))
+    ordered(sales.seasonal_segmentation(fact), lambda r: (r.purchase_quarter, -r.sales_volume, r.category))
+    top = geo.state_top_categories(fact).collect()
+    per = {}
+    for r in top:
+        per.setdefault(r.customer_state, []).append(r.revenue_rank)
+    assert all(sorted(v) == list(range(1, len(v) + 1)) for v in per.values())
