@@ -7,8 +7,8 @@ the noisy-or is what training fits; it finds the offending sentences itself.
 
 Candidate words are those whose document frequencies in the two classes differ
 most, counted over all labelled training documents.  Weights are fitted in numpy
-on at most ``sample`` labelled documents, reduced on the executors to the
-candidate words of each sentence.
+on at most ``sample`` labelled documents, reduced on the executors to the candidate
+words of each distinct sentence.  Texts are never shuffled: their distinct words are.
 
 Defined results: null text is empty, and a text without words scores as one
 sentence without words; without labels of both classes every score is 0; a
@@ -23,11 +23,12 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from mercato.llm.common import Memo, fold, stored
+from mercato.llm.common import Memo, fold, in_blocks, stored
 
 SPLIT = re.compile(r"[.!?\n]+")
 WORD = re.compile(r"[^\W\d_]+")
@@ -65,23 +66,27 @@ class Model:
         return [(s, float(x)) for s, x in zip(sentences(text), p) if x >= least]
 
 
-def fit(bags: list[list[list[int]]], y: np.ndarray, size: int, steps: int = 300, rate: float = 0.1,
+def bag_of(text: str | None, ids: dict[str, int]) -> Counter:
+    """The distinct sentences of a text, each the sorted candidate features of its words, and how often they occur."""
+    return Counter(tuple(sorted(ids[f] for w in {*WORD.findall(s)} for f in features(w) if f in ids)) for s in sentences(text))
+
+
+def fit(bags: list[Counter], y: np.ndarray, size: int, steps: int = 300, rate: float = 0.1,
         l2: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Adam on the log-loss of the noisy-or.  bags: candidate words of each sentence."""
-    n_sent = np.array([max(1, len(b)) for b in bags])
-    sent_bag = np.repeat(np.arange(len(bags)), n_sent)
-    first = np.concatenate([[0], np.cumsum(n_sent)[:-1]])
-    pairs = [(first[i] + j, w) for i, b in enumerate(bags) for j, s in enumerate(b) for w in s]
+    """Adam on the log-loss of the noisy-or over the sentences of each bag."""
+    sent_bag = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
+    times = np.array([n for b in bags for n in b.values()], float)
+    pairs = [(i, w) for i, s in enumerate(s for b in bags for s in b) for w in s]
     at, word = np.array(pairs, np.int64).reshape(-1, 2).T
     theta = np.zeros(size + 1)
     theta[-1] = -6.0
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for k in range(1, steps + 1):
         z = np.bincount(at, theta[word], len(sent_bag)) + theta[-1]
-        total = np.bincount(sent_bag, np.logaddexp(0, z), len(bags))
+        total = np.bincount(sent_bag, times * np.logaddexp(0, z), len(bags))
         # d loss / d total: 1 for label 0, -exp(-t) / (1 - exp(-t)) for label 1
         g = np.clip(np.where(y == 1, -1 / np.expm1(np.clip(total, 1e-6, 30)), 1.0), -50, 1) / len(y)
-        gz = g[sent_bag] / (1 + np.exp(-np.clip(z, -30, 30)))
+        gz = g[sent_bag] * times / (1 + np.exp(-np.clip(z, -30, 30)))
         grad = np.append(np.bincount(word, gz[at], size) + l2 * theta[:-1] / len(y) ** 0.5, gz.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         theta -= rate * m / (1 - 0.9**k) / (np.sqrt(v / (1 - 0.999**k)) + 1e-9)
@@ -89,17 +94,30 @@ def fit(bags: list[list[list[int]]], y: np.ndarray, size: int, steps: int = 300,
     return theta[:-1], float(theta[-1])
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 8000, candidates: int = 2000) -> Model:
-    """Fit on labelled documents outside fold 0 of 5; ``sample`` bounds the fitted rows only."""
+def document_words(docs: DataFrame) -> DataFrame:
+    """(doc_id, words): the distinct words of every row's whole text, joined by spaces."""
+    def run(batches):
+        for b in in_blocks(batches):
+            got = [" ".join(sorted({*WORD.findall((t or "").lower())})) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(got, pa.string())], ["doc_id", "words"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null").mapInArrow(
+        run, "doc_id long, words string")
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = 8000, candidates: int = 2000, most: int = 4_000_000) -> Model:
+    """Fit on labelled documents outside fold 0 of 5.  ``sample`` bounds the fitted documents, and
+    ``most`` their words and sentences together: documents are taken in the order of a hash of the id while they fit."""
     y = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("__y"))
     y = y.where(fold(F.col("doc_id"), 5) != 0)
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(y, "doc_id")
+    # only distinct words meet the labels, by the same kind of join at every size
+    known = document_words(docs).hint("merge").join(y, "doc_id")
 
     def count(batches):
         for pdf in batches:
             seen = [Counter(), Counter()]
-            for t, toxic in zip(pdf["text"], pdf["__y"]):
-                seen[int(toxic == 1)].update({f for w in {*WORD.findall((t or "").lower())} for f in features(w)})
+            for words, toxic in zip(pdf["words"], pdf["__y"]):
+                seen[int(toxic == 1)].update({f for w in words.split() for f in features(w)})
             words = list(seen[0].keys() | seen[1].keys())
             yield pd.DataFrame({"word": ["", *words], "clean": [int((pdf["__y"] != 1).sum()), *(seen[0][w] for w in words)],
                                 "toxic": [int((pdf["__y"] == 1).sum()), *(seen[1][w] for w in words)]})
@@ -114,19 +132,27 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 8000, candidates: in
     gain = (F.col("toxic") / n1 - F.col("clean") / n0) / F.sqrt(p * (1 - p) + 1e-9)
     top = df.where("word <> '' and clean + toxic >= 2").orderBy(F.abs(gain).desc(), "word").limit(candidates).collect()
     ids = {x.word: i for i, x in enumerate(top)}
-    # a bounded sample by a hash of the id, with the classes' shares of the data
-    chosen = y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    # a bounded sample by a hash of the id, with the classes' shares of the data; at most ``sample`` rows are broadcast
+    chosen = F.broadcast(y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
 
     def reduce(batches):
-        for pdf in batches:
-            bags = [[[ids[f] for w in {*WORD.findall(s)} for f in features(w) if f in ids] for s in sentences(t)] for t in pdf["text"]]
-            yield pd.DataFrame({"y": (pdf["__y"] == 1).astype("int"), "bag": [[b for b in x if b] for x in bags],
-                                "empty": [sum(not b for b in x) for x in bags]})
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id").mapInPandas(
-        reduce, "y int, bag array<array<int>>, empty int").collect()
-    bags = [[*x.bag, *[[]] * x.empty] for x in rows]
-    w, bias = fit(bags, np.array([x.y for x in rows]), len(ids))
+        for b in in_blocks(batches):
+            pdf = b.to_pandas()
+            bags = [bag_of(t, ids) for t in pdf["text"]]
+            yield pa.RecordBatch.from_pandas(pd.DataFrame({
+                "doc_id": pdf["doc_id"], "y": (pdf["__y"] == 1).astype("int32"), "size": [sum(1 + len(s) for s in x) for x in bags],
+                "bag": [" ".join(f"{n}:" + ",".join(map(str, s)) for s, n in sorted(x.items())) for x in bags]}), preserve_index=False)
+
+    rows = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id").mapInArrow(
+        reduce, "doc_id long, y int, size long, bag string"), "bags")
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("size"), F.xxhash64("bag"), F.col("bag")]
+    # the sizes of at most ``sample`` rows say up to which row the sample fits
+    sizes = np.array([r[0] for r in rows.orderBy(*order).select("size").limit(sample).collect()], np.int64)
+    fits = max(1, int((np.cumsum(sizes) <= most).sum()))
+    taken = rows.orderBy(*order).limit(fits).collect()
+    bags = [Counter({tuple(map(int, filter(None, s.partition(":")[2].split(",")))): int(s.partition(":")[0]) for s in x.bag.split(" ")})
+            for x in taken]
+    w, bias = fit(bags, np.array([x.y for x in taken]), len(ids))
     return Model({x: float(w[i]) for x, i in ids.items() if abs(w[i]) > 1e-3}, bias)
 
 
@@ -135,8 +161,7 @@ def with_score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     schema = StructType([*docs.schema.fields, StructField(name, DoubleType())])
 
     def run(batches):
-        import pyarrow as pa
-        for b in batches:
+        for b in in_blocks(batches):
             got = pa.array([model.score(t) for t in b.column("text").to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([*b.columns, got], [*b.schema.names, name])
 
@@ -146,11 +171,12 @@ def with_score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
 def offending(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """(doc_id, sentence, score): the sentences located in every document."""
     def run(batches):
-        for pdf in batches:
-            yield pd.DataFrame([(d, s, p) for d, t in zip(pdf["doc_id"], pdf["text"]) for s, p in model.located(t, least)],
-                               columns=["doc_id", "sentence", "score"])
+        for b in in_blocks(batches):
+            found = [(d, s, p) for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()) for s, p in model.located(t, least)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], kind) for i, kind in enumerate(
+                (pa.int64(), pa.string(), pa.float64()))], ["doc_id", "sentence", "score"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, sentence string, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, sentence string, score double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
