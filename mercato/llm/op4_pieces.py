@@ -273,19 +273,22 @@ def segment_ids(enc: Encoder, part: str, n: int, a: int, b: int) -> bytes:
 
 
 class Encoder:
-    """Whole texts from the remembered ids of their space-separated parts."""
+    """Whole texts from the remembered ids of their space-separated parts.  What is remembered is
+    forgotten when it reaches ``bound`` characters, 64 counted for each part beside its own."""
 
-    def __init__(self, lex: Lexicon, bound: int = 400_000):
-        self.lex, self.known, self.bound = lex, {}, bound
+    def __init__(self, lex: Lexicon, bound: int = 12_000_000):
+        self.lex, self.known, self.bound, self.held = lex, {}, bound, 0
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         return self.cells([CELL.findall(" " + t) if t else [] for t in texts])
 
     def cells(self, cells: list[list[str]]) -> list[bytes]:
         new = list(set().union(*cells).difference(self.known))
-        if len(self.known) + len(new) > self.bound:
+        if self.held > self.bound:
             self.known.clear()
+            self.held = 0
             new = list(set().union(*cells))
+        self.held += sum(map(len, new)) + 64 * len(new)
         new.sort(key=len)
         lo = 0
         while lo < len(new):
@@ -308,17 +311,27 @@ class Encoder:
         return [b"".join(map(self.known.__getitem__, x)) for x in cells]
 
 
-def encode(docs: DataFrame, path: str | None = None, segment: int = SEGMENT) -> DataFrame:
-    """All columns of ``docs`` and ``ids``: little-endian unsigned 32-bit ids as binary."""
+def text_of(pieces_of: list[bytes], ids: bytes, step: int = 1 << 18) -> bytes:
+    """The text of packed ids, ``step`` bytes of them at a time."""
+    return b"".join(b"".join(map(pieces_of.__getitem__, np.frombuffer(ids[i:i + step], "<u4").tolist()))
+                    for i in range(0, len(ids), step))[1:]
+
+
+def encode(docs: DataFrame, path: str | None = None, segment: int = SEGMENT, back: str | None = None) -> DataFrame:
+    """All columns of ``docs`` and ``ids``: little-endian unsigned 32-bit ids as binary.  ``back``
+    names a column for the text that the ids decode to, made by the same worker."""
     lex = Lexicon(path or public_tokenizers.path("piece_bpe_32k.model"))  # read once, about 2 MB
-    schema = StructType([*docs.schema.fields, StructField("ids", BinaryType())])
+    schema = StructType([*docs.schema.fields, StructField("ids", BinaryType()), *([StructField(back, StringType())] if back else [])])
 
     def short(batches):
         enc = Encoder(lex)
         for b in in_blocks(batches, "text", BLOCK):
             texts = [t or "" for t in b.column("text").to_pylist()]
             ids = [x for i in range(0, len(texts), 512) for x in enc(texts[i:i + 512])]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ids, pa.binary())], [*b.schema.names, "ids"])
+            more = [pa.array(ids, pa.binary())]
+            if back:
+                more.append(pa.array([text_of(lex.bytes, x) for x in ids], pa.binary()).cast(pa.string()))
+            yield pa.RecordBatch.from_arrays([*b.columns, *more], schema.names)
 
     giant = F.length("text") > segment
     small = docs.where(~F.coalesce(giant, F.lit(False))).mapInArrow(short, schema)
@@ -353,7 +366,8 @@ def encode(docs: DataFrame, path: str | None = None, segment: int = SEGMENT) ->
     whole = segs.join(cut, ["k", "seg"]).mapInPandas(traced, "k long, seg int, ids binary").groupBy("k").applyInPandas(
         joined, "k long, ids binary").withColumnsRenamed({"k": "__k", "ids": "__ids"})
     big = large.withColumn("__k", F.xxhash64("text", F.length("text"))).join(whole, "__k")
-    return small.unionByName(big.select(*[F.col(c) for c in docs.columns], F.col("__ids").alias("ids")))
+    big = big.select(*[F.col(c) for c in docs.columns], F.col("__ids").alias("ids"))
+    return small.unionByName(decode(big, path, back) if back else big)
 
 
 def decode(ids: DataFrame, path: str | None = None, out: str = "decoded") -> DataFrame:
@@ -363,7 +377,7 @@ def decode(ids: DataFrame, path: str | None = None, out: str = "decoded") -> Dat
 
     def run(batches):
         for b in in_blocks(batches, "ids", BLOCK):
-            texts = [b"".join(map(pieces_of.__getitem__, np.frombuffer(x, "<u4").tolist()))[1:] for x in b.column("ids").to_pylist()]
+            texts = [text_of(pieces_of, x) for x in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.binary()).cast(pa.string())], [*b.schema.names, out])
 
     return ids.mapInArrow(run, schema)
@@ -372,6 +386,6 @@ def decode(ids: DataFrame, path: str | None = None, out: str = "decoded") -> Dat
 def pieces(docs: DataFrame) -> DataFrame:
     """Digests of every document's ids and of the text they decode to."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return decode(encode(d)).select(
+    return encode(d, back="decoded").select(
         "doc_id", (F.length("ids") / 4).cast("long").alias("n_pieces"), F.crc32("ids").alias("ids_crc32"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"), (F.col("decoded") == F.col("text")).alias("exact"))
