@@ -164,7 +164,7 @@ def shrink(g: np.ndarray, l1: float) -> np.ndarray:
 
 def best_splits(table: np.ndarray, chosen: np.ndarray, last: np.ndarray, s: Settings) -> list[tuple[float, int, int]]:
     """(gain, feature, cut) of each node of ``table`` (nodes, features, bins, 3); gain 0 without a split."""
-    total = table[:, :1].sum(2, keepdims=True)
+    total = table[:, np.flatnonzero(chosen)[:1]].sum(2, keepdims=True)  # a feature left out has no counts
     left = np.cumsum(table, 2)[:, :, :-1]
     right = total - left
 

@@ -89,6 +89,14 @@ def test_attributions_of_the_leaves_sum_to_the_margin(spark):
     assert np.allclose(contributions(leaves, x).sum(1) + base_margin(leaves) + m.start, m.margin(x), atol=1e-9)
 
 
+def test_a_tree_uses_its_own_features_only(spark):
+    m = fit(spark.createDataFrame(rows(600), SCHEMA), rounds=8, step=0.1, leaves=6, features=0.3, patience=100)
+    used = [{f for f, side in zip(t.feature, t.left) if side >= 0} for t in m.trees]
+    assert used and all(len(u) == 1 for u in used) and len(set.union(*used)) > 1
+    for t in m.trees:
+        assert all(t.rows[n] == t.rows[t.left[n]] + t.rows[t.right[n]] for n in range(len(t.left)) if t.left[n] >= 0)
+
+
 def test_defined_results(spark):
     df = spark.createDataFrame(rows(60), SCHEMA)
     assert boosting.with_probability(df, fit(df.where("y = 1"), rounds=3)).where("model_probability < 0.99").count() == 0
