@@ -15,8 +15,9 @@ on the order of the rows, so with the same edges the same rows give the same mod
 are partitioned (approximate quantiles may differ a little between partitionings; ``edges`` fixes them).
 
 Leaf values are -shrink(G, l1) / (H + l2).  A row is in the bag of ``bag_every`` trees by a hash of
-its key, and each tree has its own choice of features.  Rounds end when the loss of
-the validation rows has not fallen for ``patience`` trees; the trees up to the best remain.
+its key, and each tree has its own choice of features.  Rounds end when the AUC of the
+validation rows (from counts in GRADES classes of the probability) has not risen for
+``patience`` trees; the trees up to the best remain.
 
 A null or NaN feature counts as greater than every number.  Without training rows of both
 classes the model has no trees and scores the share of the positive class.
@@ -41,6 +42,7 @@ from mercato.session import checkpoint_root
 BLOCK = 65_536   # rows of a block
 UNIT = 2.0**24   # gradients are summed as whole multiples of 1 / UNIT
 CHECKPOINT_EVERY = 20
+GRADES = 1 << 16
 
 
 @dataclass
@@ -50,13 +52,13 @@ class Settings:
     leaves: int = 128
     depth: int = 9
     least_rows: int = 20
-    l1: float = 0.1
-    l2: float = 0.1
+    l1: float = 1.0
+    l2: float = 1.0
     bag: float = 0.8
     bag_every: int = 5
     features: float = 0.8
     bins: int = 128
-    patience: int = 50
+    patience: int = 200
     seed: int = 42
 
 
@@ -88,7 +90,7 @@ class Boosted:
     edges: list[np.ndarray]
     start: float
     trees: list[Tree]
-    losses: list[float]   # of the validation rows, before each tree and after the last
+    losses: list[float]   # 1 - AUC of the validation rows, before each tree and after the last
 
     def bins(self, x: np.ndarray) -> np.ndarray:
         return binned(x, self.edges)
@@ -158,6 +160,16 @@ def best_first(root: int, gain: dict[int, float], children: dict[int, tuple[int,
     return out
 
 
+def lost_area(counts: np.ndarray) -> float:
+    """1 - AUC from the rows of both classes (rows of ``counts``) by grade; rows of one grade are ties.
+    0 if a class has no rows."""
+    clean, marked = counts.astype(float)
+    if not clean.sum() or not marked.sum():
+        return 0.0
+    below = np.cumsum(clean) - clean
+    return float(1 - (marked * (below + clean / 2)).sum() / (clean.sum() * marked.sum()))
+
+
 def shrink(g: np.ndarray, l1: float) -> np.ndarray:
     return np.sign(g) * np.maximum(np.abs(g) - l1, 0)
 
@@ -195,7 +207,7 @@ def to_blocks(rows: DataFrame, names: list[str], edges: list[np.ndarray], key: s
 
 
 def grow(state, n_features: int, last: np.ndarray, number: int, s: Settings) -> tuple[Tree, float]:
-    """One tree on the blocks with their margins, and the validation loss before it."""
+    """One tree on the blocks with their margins, and 1 - AUC of the validation rows before it (0 without them)."""
     width = int(last.max()) + 1
     r = np.random.default_rng([s.seed, number])
     chosen = np.zeros(n_features, bool)
@@ -211,8 +223,8 @@ def grow(state, n_features: int, last: np.ndarray, number: int, s: Settings) ->
             bins, y, w, v, key, margin = block
             p = 1 / (1 + np.exp(-margin))
             if first:
-                q = np.clip(np.where(y == 1, p, 1 - p), 1e-15, 1)
-                acc = (acc[0], acc[1] + np.array([np.rint(-(w * np.log(q))[v] * UNIT).sum(), np.rint(w[v] * UNIT).sum()]).astype(np.int64))
+                grade = np.minimum((p[v] * GRADES).astype(np.int64), GRADES - 1) + GRADES * (y[v] == 1)
+                acc = (acc[0], acc[1] + np.bincount(grade, minlength=2 * GRADES).reshape(2, GRADES))
             at = slot[tree.places(bins)]
             use = np.flatnonzero((at >= 0) & ~v & in_bag(key, s.seed + number // s.bag_every, s.bag))
             g, h = np.rint((w * (p - y))[use] * UNIT), np.rint((w * p * (1 - p))[use] * UNIT)
@@ -227,9 +239,9 @@ def grow(state, n_features: int, last: np.ndarray, number: int, s: Settings) ->
         def merge(a, b):
             return b[0] if a[0] is None else a[0] if b[0] is None else a[0] + b[0], a[1] + b[1]
 
-        table, lost = state.treeAggregate((None, np.zeros(2, np.int64)), add, merge, depth=2)
-        if first and lost[1]:
-            loss = float(lost[0]) / float(lost[1])
+        table, counts = state.treeAggregate((None, np.zeros((2, GRADES if first else 0), np.int64)), add, merge, depth=2)
+        if first:
+            loss = lost_area(counts)
         if first and table is None:  # no rows
             return tree, loss
         if first:  # the sums of a node: of any feature that was counted

@@ -97,6 +97,16 @@ def test_a_tree_uses_its_own_features_only(spark):
         assert all(t.rows[n] == t.rows[t.left[n]] + t.rows[t.right[n]] for n in range(len(t.left)) if t.left[n] >= 0)
 
 
+def test_area_from_grades():
+    r = np.random.default_rng(2)
+    grade, y = r.integers(0, 40, 500), r.integers(0, 2, 500)
+    up, down = grade[y == 1], grade[y == 0]
+    want = np.mean((up[:, None] > down) + 0.5 * (up[:, None] == down))
+    counts = np.stack([np.bincount(grade[y == k], minlength=boosting.GRADES) for k in (0, 1)])
+    assert abs(1 - boosting.lost_area(counts) - want) < 1e-12
+    assert boosting.lost_area(counts * np.array([[1], [0]])) == 0
+
+
 def test_defined_results(spark):
     df = spark.createDataFrame(rows(60), SCHEMA)
     assert boosting.with_probability(df, fit(df.where("y = 1"), rounds=3)).where("model_probability < 0.99").count() == 0
