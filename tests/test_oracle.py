@@ -48,6 +48,7 @@ def test_every_query_has_a_callable():
 
 EXPECTED_COLUMNS = {
     "sales_by_state_approx": ["customer_state", "total_revenue", "total_orders", "unique_customers", "avg_order_value"],
+    "churn_leafwise_metrics": ["test_auc", "trees", "most_leaves"],
     "churn_model_metrics": ["test_auc", "train_rows", "test_rows", "validation_rows"],
     "churn_scores": ["customer_unique_id", "model_probability", "churn_probability", "risk_level"],
     "churn_drivers": ["customer_unique_id", "driver_rank", "feature", "contribution"],
