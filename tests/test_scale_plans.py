@@ -98,3 +98,60 @@ def test_fraud_without_numbers_agrees_with_the_numbered_pairs(spark):
     assert fraud.fraud_top(fact).collect() == want.collect()
     for df in (fraud.fraud_count(fact), fraud.fraud_top(fact), cases):
         assert "rangepartitioning" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_fact_is_written_without_a_shuffle_by_month(spark, tmp_path):
+    from mercato.sources.io import write_fact
+
+    before = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    df = spark.range(0, 600, 1, 3).select("id", F.when(F.col("id") % 3 > 0, F.concat(F.lit("1996-0"), F.col("id") % 3)).alias("purchase_month"))
+    write_fact(df, str(tmp_path / "fact"))
+    months = sorted(p for p in (tmp_path / "fact").iterdir() if p.name.startswith("purchase_month="))
+    # every task wrote its own rows of every month, the missing one too
+    assert [len(list(p.glob("*.parquet"))) for p in months] == [3, 3, 3]
+    assert spark.read.parquet(str(tmp_path / "fact")).select("id", "purchase_month").exceptAll(df).count() == 0
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == before
+
+
+def test_fact_of_many_rows_has_more_partitions_by_order(spark, monkeypatch):
+    from mercato.operators import skew
+
+    plain = build_fact(clean(Context(spark, SMALL).src, translation_builder=derived_translation))
+    monkeypatch.setattr(skew, "ROWS_PER_TASK", 300)
+    cl = clean(Context(spark, SMALL).src, translation_builder=derived_translation)
+    n = cl.order_partitions
+    assert n == -(-cl.src.order_items.count() // 300) and n > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    many = build_fact(cl)
+    assert f", {n})" in many._jdf.queryExecution().executedPlan().toString()
+    assert many.count() == plain.count() and many.exceptAll(plain).count() == 0
+
+
+def test_hot_keys_counts_single_keys_only_in_large_slots(spark):
+    from mercato.operators.skew import hot_keys
+
+    rows = [(k,) for k in range(300) for _ in range(3)] + [(7,)] * 50 + [(None,)] * 90 + [(9,)] * 20
+    df = spark.createDataFrame(rows, "k int")
+    assert sorted(hot_keys(df, "k", rows_per_salt=20).collect()) == [(7, 3), (9, 2)]
+    assert hot_keys(df, "k", rows_per_salt=60).count() == 0
+    plan = hot_keys(df, "k")._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan and "__slot" in plan
+
+
+def test_forecast_kpis_read_the_forecast_once(spark):
+    import datetime as dt
+
+    from mercato.operators.forecast import forecast_metrics
+
+    day = dt.date(1998, 1, 30)
+    actual = spark.createDataFrame([("a", day, 4.0), ("b", day, 0.0)], "series string, ds date, y double")
+    given = spark.createDataFrame([(s, day + dt.timedelta(i), v * i) for s, v in (("a", 1.0), ("b", 2.0)) for i in range(0, 4)],
+                                  "series string, ds date, yhat double").repartition(2, "series")
+    seen = spark.sparkContext.accumulator(0)
+
+    def fit(pdf):
+        seen.add(1)
+        return pdf
+
+    got = forecast_metrics(actual, given.groupBy("series").applyInPandas(fit, given.schema)).orderBy("series").collect()
+    assert [tuple(r) for r in got] == [("a", 3, 6.0, -25.0, "Feb 1998", 5.0), ("b", 3, 12.0, None, "Feb 1998", 10.0)]
+    assert seen.value == 2  # one fit a series
