@@ -139,15 +139,17 @@ def forecast_metrics(actual: DataFrame, forecast: DataFrame) -> DataFrame:
     month with the largest forecast total ('MMM yyyy', earliest on a tie)."""
     last = actual.groupBy("series").agg(F.max("ds").alias("last_ds"), F.max_by("y", "ds").alias("last_y"))
     fut = forecast.join(last, "series").where(F.col("ds") > F.col("last_ds"))
-    tot = fut.groupBy("series").agg(
-        F.count(F.lit(1)).alias("forecast_days"),
-        F.round(F.sum("yhat"), 2).alias("total_forecast"),
-        F.max_by("yhat", "ds").alias("final_forecast"),
-        F.first("last_y").alias("last_actual"))
-    monthly = fut.groupBy("series", F.trunc("ds", "MM").alias("month")).agg(F.sum("yhat").alias("month_yhat"))
-    peak = monthly.groupBy("series").agg(
+    # one pass over the forecast, so that no series is fitted twice
+    months = fut.groupBy("series", F.trunc("ds", "MM").alias("month")).agg(
+        F.sum("yhat").alias("month_yhat"), F.count(F.lit(1)).alias("days"), F.max("ds").alias("last_day"),
+        F.max_by("yhat", "ds").alias("last_yhat"), F.first("last_y").alias("last_y"))
+    kpis = months.groupBy("series").agg(
+        F.sum("days").alias("forecast_days"),
+        F.round(F.sum("month_yhat"), 2).alias("total_forecast"),
+        F.max_by("last_yhat", "last_day").alias("final_forecast"),
+        F.first("last_y").alias("last_actual"),
         F.min_by(F.struct("month", "month_yhat"), F.struct(-F.col("month_yhat"), F.col("month"))).alias("p"))
-    return tot.join(peak, "series").select(
+    return kpis.select(
         "series", "forecast_days", "total_forecast",
         (F.try_divide(F.col("final_forecast") - F.col("last_actual"), F.col("last_actual")) * 100)
          .alias("predicted_growth_pct"),
