@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mercato.llm.common import Memo, linked_groups, mix64, shared_buckets, stored
+from mercato.llm.common import Memo, likely_in, linked_groups, mix64, shared_buckets, stored
 
 SHINGLE, BINS = 5, 64
 
@@ -145,11 +145,19 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
                 [s.view(np.int64) for s in shingles(texts, of)], pa.list_(pa.int64()))], ["node", "set"])
 
     # a repeated doc_id with other text gives several sets; each is compared
-    sets = stored(d.select("doc_id", "text").join(nodes, "doc_id").mapInArrow(sets_of, "node long, set array<long>"), "sets")
+    sets = stored(likely_in(d.select("doc_id", "text"), "doc_id", nodes).join(nodes, "doc_id").mapInArrow(sets_of, "node long, set array<long>"), "sets")
+    # a node with several sets has a null size, and no pair of it is ruled out
+    sizes_of = sets.groupBy("node").agg(F.min(F.xxhash64("set")).alias("lo"), F.max(F.xxhash64("set")).alias("hi"), F.max(F.size("set")).alias("size")).where(
+        "lo = hi").select("node", "size")
+    looks = likely_in(classes, "node", nodes).groupBy("node").agg(F.first("sketch").alias("sketch"), F.first("keys").alias("keys"))
+    looks = stored(sizes_of.join(looks, "node"), "looks")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        a = sets.select(F.col("node").alias("a"), F.col("set").alias("x"))
-        b = sets.select(F.col("node").alias("b"), F.col("set").alias("y"))
+        a_look, b_look = (looks.select(F.col("node").alias(side), F.col("sketch").alias(f"{side}_sketch")) for side in "ab")
+        pairs = stored(pairs.join(a_look, "a", "left").join(b_look, "b", "left").where(F.coalesce(agree(), F.lit(True))).select("a", "b"), "pairs")
+        # only the sets that these pairs need are shuffled
+        a = likely_in(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a", pairs.select("a"))
+        b = likely_in(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b", pairs.select("b"))
         both = F.size(F.array_intersect("x", "y"))
         return pairs.join(a, "a").join(b, "b").where(100 * both >= percent * (F.size("x") + F.size("y") - both)).where(
             F.size("x") > 0).select("a", "b").distinct()
@@ -164,12 +172,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     def payload(members: DataFrame) -> DataFrame:
         """node, sketch, keys, size and shared of ``members``: how many of a node's shingles other members have too.
         A node with several sets gets nulls, and no pair of it is ruled out."""
-        mine = sets.join(members, "node").withColumn("h", F.xxhash64("set"))
-        single = mine.groupBy("node").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.max(F.size("set")).alias("size")).where(
-            "lo = hi").select("node", "size").join(classes.groupBy("node").agg(F.first("sketch").alias("sketch"), F.first("keys").alias("keys")), "node")
+        mine = likely_in(sets, "node", members).join(members, "node")
         alone = mine.select("node", F.explode("set").alias("e")).groupBy("e").agg(
             F.min("node").alias("node"), F.max("node").alias("last")).where("node = last").groupBy("node").agg(F.count("*").alias("alone"))
-        return members.join(single, "node", "left").join(alone, "node", "left").select(
+        return members.join(looks, "node", "left").join(alone, "node", "left").select(
             "node", "sketch", "keys", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("shared"))
 
     def near() -> Column:
